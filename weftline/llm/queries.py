@@ -95,6 +95,28 @@ def p7_waste(spark: SparkSession, d: str) -> DataFrame:
     return filled.join(specs, "spec_id").withColumn("unused_share", 1 - F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")))
 
 
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.llm.langid import fit, label_languages
+
+    documents = table(spark, d, "documents")
+    return label_languages(documents, fit(documents))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.llm.langid import language_defects
+
+    return language_defects(_labelled(spark, d))
+
+
+def p8_languages(spark: SparkSession, d: str) -> DataFrame:
+    return _labelled(spark, d).select("doc_id", "language", "confidence", "n_words")
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    segments = _labelled(spark, d).select("doc_id", F.posexplode("segments").alias("segment_no", "s"))
+    return segments.select("doc_id", "segment_no", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.lang").alias("lang"), F.col("s.confidence").alias("confidence"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {name: f for name, f in globals().items() if name[0] == "p" and name[1:2].isdigit() and callable(f)}
     return dict(sorted(found.items(), key=lambda x: int(x[0][1:].split("_")[0])))
