@@ -19,7 +19,7 @@ from weftline.llm.subwords import SubwordModel, train
 CLASSES = (*CODES, "none")
 
 #: Bounds of the training sample: documents of each labelled language, and sentences of each.
-TRAIN_DOCUMENTS, TRAIN_SENTENCES = 300, 1200
+TRAIN_DOCUMENTS, TRAIN_SENTENCES = 400, 2000
 
 #: Words that a sentence must have to count, the confidence below which it is rejected, and the same for a
 #: sentence in another language than most of its text.

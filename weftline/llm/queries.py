@@ -77,6 +77,20 @@ def p3_point_counts(spark: SparkSession, d: str) -> DataFrame:
     return points.groupBy("point_id").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.llm.overlap import cross_split_pairs
+
+    pairs = cross_split_pairs(table(spark, d, "context_qa_samples"))
+    return pairs.select(F.least("train_id", "eval_id").alias("sample_id_a"), F.greatest("train_id", "eval_id").alias("sample_id_b"))
+
+
+def p4_report(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.llm.overlap import cross_split_pairs, overlap_report
+
+    samples = table(spark, d, "context_qa_samples")
+    return overlap_report(samples, cross_split_pairs(samples))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     from weftline.llm.encoding import encode_texts
 
