@@ -91,6 +91,14 @@ def p4_report(spark: SparkSession, d: str) -> DataFrame:
     return overlap_report(samples, cross_split_pairs(samples))
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    from weftline.llm.pairs import defective_pairs, pairs_of_dialogs, pairs_of_results
+
+    dialogs = pairs_of_dialogs(table(spark, d, "latentqa_datapoints")).withColumn("record_table", F.lit("latentqa_datapoints"))
+    results = pairs_of_results(table(spark, d, "verbalizer_results")).withColumn("record_table", F.lit("verbalizer_results"))
+    return defective_pairs(dialogs.unionByName(results))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     from weftline.llm.encoding import encode_texts
 
