@@ -25,22 +25,34 @@ def hashed_rank(df: DataFrame, group: Sequence[str], tie: str, seed: int, *, ran
     """
     bits = buckets.bit_length() - 1
     h = F.xxhash64(F.col(tie), *[F.col(g) for g in group], F.lit(seed))
-    keyed = df.withColumn("_h", h).withColumn("_b", F.shiftrightunsigned(F.col("_h"), 64 - bits))
-    return _rank(keyed, group, [F.col("_h"), F.col(tie)], rank).drop("_h", "_b")
+    keyed = df.withColumn("_h", h)
+    return bucketed_rank(keyed, group, F.shiftrightunsigned(F.col("_h"), 64 - bits), [F.col("_h"), F.col(tie)], rank=rank).drop("_h")
 
 
-def value_rank(df: DataFrame, group: Sequence[str], value: str, order: Sequence[Column], *, rank: str = "rank", width: int = 1) -> DataFrame:
-    """Add the rank by ``order``, whose first column must be ``value``, a whole number.
+def shuffled_rank(df: DataFrame, key: str, salt: str, group: Sequence[str] = (), *, rank: str = "rank") -> DataFrame:
+    """The same in the order of ``md5(key|salt)``, which SQL can state; 4096 buckets."""
+    from weftline.rand import md5_key
+
+    keyed = df.withColumn("_m", md5_key(key, salt))
+    return bucketed_rank(keyed, group, F.substring("_m", 1, 3), [F.col("_m"), F.col(key)], rank=rank).drop("_m")
+
+
+def value_rank(df: DataFrame, value: str, tie: str, group: Sequence[str] = (), *, descending: bool = False, width: int = 1, rank: str = "rank") -> DataFrame:
+    """The rank by ``value``, a whole number, then by ``tie``; nulls come last.
 
     Buckets are ranges of ``value`` of the given width, so the table of bucket counts has as many
-    rows as there are distinct ranges. Use it for lengths, days and other bounded numbers.
+    rows as there are distinct ranges. Use it for lengths, days, ordinals and other bounded numbers.
     """
-    descending = "DESC" in str(order[0])
-    b = F.floor(F.coalesce(F.col(value), F.lit(-1)) / width)
-    return _rank(df.withColumn("_b", -b if descending else b), group, order, rank).drop("_b")
+    v = F.col(value)
+    b = F.floor(v / width)
+    order = [v.desc_nulls_last() if descending else v.asc_nulls_last(), F.col(tie)]
+    last = F.lit((1 << 62) - 1)
+    return bucketed_rank(df, group, F.coalesce(-b if descending else b, last), order, rank=rank)
 
 
-def _rank(keyed: DataFrame, group: Sequence[str], order: Sequence[Column], rank: str) -> DataFrame:
+def bucketed_rank(df: DataFrame, group: Sequence[str], bucket: Column, order: Sequence[Column], *, rank: str = "rank") -> DataFrame:
+    """The rank by ``order``; ``bucket`` must never fall along that order."""
+    keyed = df.withColumn("_b", bucket)
     counts = keyed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     names = [f"_o{i}" for i in range(len(group) + 1)]
@@ -48,4 +60,31 @@ def _rank(keyed: DataFrame, group: Sequence[str], order: Sequence[Column], rank:
     matched = [F.col(c).eqNullSafe(F.col(n)) for c, n in zip((*group, "_b"), names, strict=True)]
     joined = keyed.join(offsets, matched).drop(*names)
     inside = Window.partitionBy(*group, "_b").orderBy(*order)
-    return joined.withColumn(rank, F.col("_before") + F.row_number().over(inside)).drop("_before")
+    return joined.withColumn(rank, F.col("_before") + F.row_number().over(inside)).drop("_before", "_b")
+
+
+def value_at_rank(df: DataFrame, value: str, place: Column, group: Sequence[str] = (), *, name: str = "value") -> DataFrame:
+    """One row a group: the value at 0-based ``place``, an expression of the group's row count ``n``.
+
+    Reads the value off a histogram, so only distinct values are ordered. Nulls are left out.
+    Columns: the group, ``n`` and ``name``.
+    """
+    histogram = df.where(F.col(value).isNotNull()).groupBy(*group, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(*group).orderBy("_v")
+    summed = histogram.withColumn("_upto", F.sum("_c").over(upto)).withColumn("n", F.sum("_c").over(Window.partitionBy(*group)))
+    return summed.where(F.col("_upto") > place).groupBy(*group, "n").agg(F.min("_v").alias(name))
+
+
+def floor_quantile(p: float) -> Column:
+    """Place ``int((n - 1) * p)``, unlike ``percentile_disc`` which takes the ceiling."""
+    return F.floor((F.col("n") - 1) * F.lit(p))
+
+
+def upper_median() -> Column:
+    """Place ``n // 2``."""
+    return F.floor(F.col("n") / 2)
+
+
+def lower_median() -> Column:
+    """Place ``(n - 1) // 2``."""
+    return F.floor((F.col("n") - 1) / 2)
