@@ -40,9 +40,9 @@ def token_counts(df: DataFrame, *, keep: list[str], text: str = "text", tokenize
     """The columns ``keep`` and ``n_tokens``, the exact number of tokens of each text; 0 for null and empty ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizers.load(tokenizer, folder)
+        counter = tokenizers.UnitCounter([tokenizer], folder)
         for batch in batches:
-            counts = tok.counts(batch.column(0).to_pylist())
+            counts = counter.counts(batch.column(0).to_pylist())[:, 0]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(counts, pa.int64())], [*names, "n_tokens"])
 
     names = [f"k{i}" for i in range(len(keep))]

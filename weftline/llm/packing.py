@@ -74,10 +74,10 @@ def token_sizes(df: DataFrame, names: list[str], *, key: str = "doc_id", text: s
     """One row (key, sizes) a row: the sizes of its text under each tokenizer, by one pass over the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = [tokenizers.load(n, folder) for n in names]
+        counter = tokenizers.UnitCounter(names, folder)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            sizes = np.stack([t.counts(texts) for t in tokens], axis=1).ravel() if texts else np.empty(0, np.int64)
+            sizes = counter.counts(texts).ravel()
             ends = np.arange(0, len(sizes) + 1, len(names), dtype=np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(sizes))], ["key", "sizes"])
 

@@ -110,3 +110,70 @@ def load(name: str, folder: str = TOKENIZER_DIR) -> RankTokenizer | PieceTokeniz
         if os.path.exists(path):
             return kind(path)
     raise FileNotFoundError(f"no vocabulary file for tokenizer {name!r} in {folder}")
+
+
+class _Counts(dict):
+    """Token counts of units under several tokenizers, packed into one whole number; filled as units turn up."""
+
+    #: Units kept at most; beyond it the table starts anew, so memory is bounded whatever the vocabulary.
+    LIMIT = 200_000
+
+    def __init__(self, tokens: list, first: bool) -> None:
+        super().__init__()
+        self.encoders = [(t.model.encode if isinstance(t, PieceTokenizer) else t.encoding.encode_ordinary, "" if first or isinstance(t, PieceTokenizer) else " ", 40 * i) for i, t in enumerate(tokens)]
+
+    def __missing__(self, unit: str) -> int:
+        if len(self) >= self.LIMIT:
+            self.clear()
+        packed = 0
+        for encode, lead, shift in self.encoders:
+            packed |= len(encode(lead + unit)) << shift
+        self[unit] = packed
+        return packed
+
+
+class UnitCounter:
+    """Exact token counts by adding up counts of units, each encoded once.
+
+    A unit ends before a plain space between two visible characters. Byte-level tokenizers never
+    merge across such a place (see ``split_safely``), nor do piece models none of whose pieces has a
+    blank after a visible sign; their blank before the first unit is the one that they add
+    themselves. Other tokenizers count whole texts.
+    """
+
+    def __init__(self, names: list[str], folder: str = TOKENIZER_DIR) -> None:
+        loaded = [load(n, folder) for n in names]
+        self.by_unit = [i for i, t in enumerate(loaded) if _adds_up(t)]
+        self.whole = [i for i in range(len(loaded)) if i not in self.by_unit]
+        self.loaded = loaded
+        parts = [loaded[i] for i in self.by_unit]
+        self.rest, self.first = _Counts(parts, False), _Counts(parts, True)
+
+    def counts(self, texts: list[str | None]) -> np.ndarray:
+        """An array of texts by tokenizers."""
+        out = np.zeros((len(texts), len(self.loaded)), np.int64)
+        low = (1 << 40) - 1
+        again = []
+        if self.by_unit:
+            for row, text in enumerate(texts):
+                if text:
+                    units = _SAFE.split(text)
+                    packed = self.first[units[0]] + sum(map(self.rest.__getitem__, units[1:]))
+                    for i, column in enumerate(self.by_unit):
+                        out[row, column] = packed >> (40 * i) & low
+                    if "\u2581" in text:  # piece models take this sign for a blank
+                        again.append(row)
+        for row in again:
+            out[row] = [t.counts([texts[row]])[0] for t in self.loaded]
+        for column in self.whole:
+            out[:, column] = self.loaded[column].counts(texts)
+        return out
+
+
+def _adds_up(tokenizer: object) -> bool:
+    if isinstance(tokenizer, RankTokenizer):
+        return True
+    if isinstance(tokenizer, PieceTokenizer):
+        m = tokenizer.model
+        return not any("\u2581" in m.id_to_piece(i).lstrip("\u2581") for i in range(m.get_piece_size()))
+    return False
