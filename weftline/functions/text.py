@@ -52,8 +52,9 @@ def contains_any(response: Column, accepted: Column) -> Column:
 
 def word_class(text: Column, first: str, second: str) -> Column:
     """``first``, ``second``, ``both`` or ``neither``, by whole words, the plural included."""
-    a = text.rlike(rf"(?i)\b{first}s?\b")
-    b = text.rlike(rf"(?i)\b{second}s?\b")
+    low = F.lower(text)
+    a = low.rlike(rf"(^|[^a-z0-9_]){first}s?([^a-z0-9_]|$)")
+    b = low.rlike(rf"(^|[^a-z0-9_]){second}s?([^a-z0-9_]|$)")
     return F.when(a & b, "both").when(a, first).when(b, second).otherwise("neither")
 
 
