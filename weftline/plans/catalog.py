@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftline.plans import corpus, scores, sequences, statements, texts, vectors  # noqa: F401  (the import registers the queries)
+from weftline.plans import corpus, files, scores, sequences, statements, texts, vectors  # noqa: F401  (the import registers the queries)
 from weftline.plans.registry import QUERIES, SQL
 
 
