@@ -85,7 +85,7 @@ def after_last_open_tag(text: Column, tag: str) -> Column:
 def fenced_json(text: Column) -> Column:
     """The text of the last fenced JSON block, else the last paragraph; never evaluated."""
     fenced = F.regexp_extract(text, r"(?s).*```json\s*(.*?)```", 1)
-    return F.when(fenced != "", F.trim(fenced)).otherwise(F.trim(F.substring_index(text, "\n\n", -1)))
+    return F.btrim(F.when(fenced != "", fenced).otherwise(F.substring_index(text, "\n\n", -1)), F.lit(" \t\r\n"))
 
 
 def last_segment(path: Column, missing: str = "base_model") -> Column:
