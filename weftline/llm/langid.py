@@ -63,13 +63,13 @@ def weight(ws: list[str]) -> float:
 
 
 def fit(documents: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", n_documents: int = TRAIN_DOCUMENTS, n_sentences: int = TRAIN_SENTENCES, seed: int = 5) -> SubwordModel | None:
-    """Train on a bounded sample: of each labelled language the ``n_documents`` first in hash order, at most ``n_sentences`` of their sentences.
+    """Train on a bounded sample: of each labelled language the ``n_documents`` first in hash order of 40 to 8000 characters, at most ``n_sentences`` of their sentences.
 
     Labels are partly wrong and some texts are mixed; the training drops sentences that it finds improbable.
     The class of no language is trained on strings of the capitalised names of the texts and on lines without sentences.
     None if no document has a label that names a language.
     """
-    labelled = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), code_column(lang).alias("c")).where("c is not null and length(t) > 40")
+    labelled = documents.select(F.col(key).alias("k"), F.col(text).alias("t"), code_column(lang).alias("c")).where("c is not null and length(t) between 40 and 8000")
     first = Window.partitionBy("c").orderBy(F.xxhash64("k", F.lit(seed)), "k")
     rows = labelled.withColumn("r", F.row_number().over(first)).where(F.col("r") <= n_documents).select("k", "t", "c").collect()
     rng = np.random.default_rng(seed)

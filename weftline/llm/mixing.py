@@ -45,7 +45,7 @@ def mix_sources(records: DataFrame, targets: DataFrame, configs: DataFrame, *, r
     )
     limits = (
         configs.select(name_key(F.col("dataset_name")).alias("_key"), "num_train", "updated_at")
-        .where("_key is not null").groupBy("_key").agg(F.max_by("num_train", "updated_at").cast("bigint").alias("_limit"))
+        .where("_key is not null").groupBy("_key").agg(F.max_by("num_train", F.struct("updated_at", "num_train")).cast("bigint").alias("_limit"))
     )
     amount = F.greatest(F.coalesce(F.col(size).cast("double"), F.lit(0.0)), F.lit(0.0)) if size else F.lit(1.0)
     distinct = (
