@@ -89,7 +89,7 @@ class SubwordModel:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[list[str]], labels: np.ndarray, classes: int, *, bits: int = 16, dim: int = 16, epochs: int = 10, rate: float = 0.5, batch: int = 256, seed: int = 3) -> SubwordModel:
+def train(texts: list[list[str]], labels: np.ndarray, classes: int, *, bits: int = 16, dim: int = 16, epochs: int = 10, rate: float = 0.06, batch: int = 256, seed: int = 3) -> SubwordModel:
     """Fit on lists of words. A tenth of the texts is held out to fit the temperature of the probabilities.
 
     After half of the epochs, texts whose label the model finds improbable are left out, since labels are partly wrong.
@@ -119,6 +119,14 @@ def train(texts: list[list[str]], labels: np.ndarray, classes: int, *, bits: int
         e = np.exp(z - z.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
+    # each row of parameters has its own step, divided by the root of its squared gradients so far, so that
+    # subwords that a batch holds thousands of times move no further than rare ones
+    seen = [np.full((len(p), 1), 1e-8, np.float32) for p in (table, weights, bias[:, None])]
+
+    def move(parameters: np.ndarray, gradient: np.ndarray, squares: np.ndarray, step: float) -> None:
+        squares += np.mean(gradient * gradient, axis=1, keepdims=True)
+        parameters -= step * gradient / np.sqrt(squares)
+
     for epoch in range(epochs):
         if epoch == epochs // 2:
             keep = [softmax(forward(c)[5] @ weights + bias)[np.arange(len(c)), labels[c]] > 0.2 for c in np.array_split(used, max(1, len(used) // 1024)) if len(c)]
@@ -130,13 +138,15 @@ def train(texts: list[list[str]], labels: np.ndarray, classes: int, *, bits: int
             counts, words, back, subs, total, mean = forward(rows)
             wrong = softmax(mean @ weights + bias)
             wrong[np.arange(len(rows)), labels[rows]] -= 1
-            toward = (wrong @ weights.T) / np.sqrt(total)[:, None]
-            weights -= step * 4 * (mean.T @ wrong) / len(rows)
-            bias -= step * 0.1 * wrong.mean(axis=0)
-            per_text = np.repeat(np.arange(len(rows)), counts)
-            by_word = np.zeros((len(words), dim), np.float32)
-            _add_rows(by_word, back, toward[per_text])
-            _add_rows(table, subs, -step * np.repeat(by_word, per_word[words], axis=0))
+            toward = (wrong @ weights.T) / total[:, None]
+            move(weights, mean.T @ wrong, seen[1], step)
+            move(bias[:, None], wrong.sum(axis=0)[:, None], seen[2], step)
+            by_word, gradient = np.zeros((len(words), dim), np.float32), np.zeros_like(table)
+            _add_rows(by_word, back, toward[np.repeat(np.arange(len(rows)), counts)])
+            _add_rows(gradient, subs, np.repeat(by_word, per_word[words], axis=0))
+            move(table, gradient, seen[0], step)
+    if not np.isfinite(table).all():
+        raise ArithmeticError("the training diverged")
     scale = 1.0
     if len(held):
         z, y = forward(held)[5] @ weights + bias, labels[held]
