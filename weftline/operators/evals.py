@@ -54,3 +54,14 @@ def merged_counts(frames: Sequence[DataFrame], group: Sequence[str]) -> DataFram
     from weftline.operators.joins import union_all
 
     return union_all(*frames).groupBy(*group).agg(F.sum("correct").alias("correct"), F.sum("n").alias("n"))
+
+
+def set_scores(predicted: DataFrame, truth: DataFrame, group: Sequence[str], item: str, digits: int = 6) -> DataFrame:
+    """Precision, recall and F1 of sets given as rows (group, item), by one join; 0 for empty sets."""
+    a = predicted.select(*group, item).distinct().withColumn("_p", F.lit(1))
+    b = truth.select(*group, item).distinct().withColumn("_t", F.lit(1))
+    counted = a.join(b, [*group, item], "full").groupBy(*group).agg(F.count("_p").alias("n_predicted"), F.count("_t").alias("n_true"), F.count(F.col("_p") + F.col("_t")).alias("hits"))
+    p, r = stats.share(F.col("hits"), F.col("n_predicted")), stats.share(F.col("hits"), F.col("n_true"))
+    scored = counted.withColumn("_precision", p).withColumn("_recall", r)
+    f = stats.f1(F.col("_precision"), F.col("_recall"))
+    return scored.select(*group, "n_predicted", "n_true", "hits", F.round("_precision", digits).alias("precision"), F.round("_recall", digits).alias("recall"), F.round(f, digits).alias("f1"))

@@ -23,15 +23,15 @@ def missing_keys(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
 
 def zip_rows(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Positional join by the order of the keys. The column ``same_length`` is false if the sides differ in length."""
-    a = value_rank(left, left_key, left_key, width=64, rank="_at")
-    b = value_rank(right, right_key, right_key, width=64, rank="_at")
+    a = value_rank(left, left_key, left_key, rank="_at")
+    b = value_rank(right, right_key, right_key, rank="_at")
     return a.join(b, "_at", "full").withColumn("same_length", F.col(left_key).isNotNull() & F.col(right_key).isNotNull()).drop("_at")
 
 
 def round_robin(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:
     """Each left row with the right row of ordinal ``i mod n``. The right side is small: it is dealt out by its own count."""
-    a = value_rank(left, left_key, left_key, width=64, rank="_i")
-    b = value_rank(right, right_key, right_key, width=64, rank="_j").crossJoin(F.broadcast(right.agg(F.count(F.lit(1)).alias("_n"))))
+    a = value_rank(left, left_key, left_key, rank="_i")
+    b = value_rank(right, right_key, right_key, rank="_j").crossJoin(F.broadcast(right.agg(F.count(F.lit(1)).alias("_n"))))
     n = right.agg(F.count(F.lit(1)).alias("_m"))
     return a.crossJoin(F.broadcast(n)).withColumn("_j", F.pmod(F.col("_i") - 1, F.col("_m")) + 1).join(b.drop("_n"), "_j").drop("_i", "_j", "_m")
 

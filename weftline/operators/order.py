@@ -62,8 +62,8 @@ def interleave(left: DataFrame, right: DataFrame, key: str, n: int, m: int, *, p
 
     Ends with the last whole cycle that both can fill, or with all rows if ``partial``.
     """
-    a = value_rank(left.select(key), key, key, width=64, rank="_at").select(key, F.lit("left").alias("source"), F.floor((F.col("_at") - 1) / n).alias("cycle"), F.pmod(F.col("_at") - 1, F.lit(n)).alias("_in"))
-    b = value_rank(right.select(key), key, key, width=64, rank="_at").select(key, F.lit("right").alias("source"), F.floor((F.col("_at") - 1) / m).alias("cycle"), (n + F.pmod(F.col("_at") - 1, F.lit(m))).alias("_in"))
+    a = value_rank(left.select(key), key, key, rank="_at").select(key, F.lit("left").alias("source"), F.floor((F.col("_at") - 1) / n).alias("cycle"), F.pmod(F.col("_at") - 1, F.lit(n)).alias("_in"))
+    b = value_rank(right.select(key), key, key, rank="_at").select(key, F.lit("right").alias("source"), F.floor((F.col("_at") - 1) / m).alias("cycle"), (n + F.pmod(F.col("_at") - 1, F.lit(m))).alias("_in"))
     both = a.unionByName(b)
     if not partial:
         na, nb = left.agg(F.count(F.lit(1)).alias("_na")), right.agg(F.count(F.lit(1)).alias("_nb"))

@@ -167,7 +167,8 @@ def stream_interleave(spark: SparkSession, d: str) -> DataFrame:
     return order.interleave(docs, chats, "id", 3, 1)
 
 
-PACK_CHARS, PACK_BLOCK = 3000, 1 << 20
+#: Packs end at the borders of id blocks, so a fold never holds more than a block's rows of a source.
+PACK_CHARS, PACK_BLOCK = 3000, 1 << 12
 
 
 @query(
@@ -210,4 +211,4 @@ def longest_rows(spark: SparkSession, d: str) -> DataFrame:
 )
 def every_kth(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "latentqa_datapoints").select("point_id").distinct()
-    return value_rank(rows, "point_id", "point_id", width=64, rank="ord").where("(ord - 1) % 2 = 0").select("point_id", (F.col("ord") - 1).alias("pos"))
+    return value_rank(rows, "point_id", "point_id", rank="ord").where("(ord - 1) % 2 = 0").select("point_id", (F.col("ord") - 1).alias("pos"))

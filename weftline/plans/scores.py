@@ -190,7 +190,7 @@ def trailing_mean(spark: SparkSession, d: str) -> DataFrame:
     long = wide.unpivot(["step"], ["lr_1e-5", "lr_3e-5", "base"], "run", "loss").where("loss is not null")
     from weftline.ranks import value_rank
 
-    last = value_rank(long, "step", "step", ["run"], descending=True, width=16, rank="back").where("back <= 200")
+    last = value_rank(long, "step", "step", ["run"], descending=True, rank="back").where("back <= 200")
     return last.groupBy("run", text.learning_rate(F.col("run")).alias("lr")).agg(F.round(F.avg("loss"), 6).alias("trailing_mean"), F.count(F.lit(1)).alias("n"))
 
 

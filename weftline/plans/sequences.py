@@ -241,7 +241,7 @@ def latent_qa(spark: SparkSession, d: str) -> DataFrame:
     rows = dialogs(spark, d).where("label is not null and source is not null")
     from weftline.ranks import value_rank
 
-    ranked = value_rank(rows, "point_id", "point_id", ["label"], width=1024, rank="_r").join(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_behaviours")), "label")
+    ranked = value_rank(rows, "point_id", "point_id", ["label"], rank="_r").join(rows.groupBy("label").agg(F.count(F.lit(1)).alias("n_behaviours")), "label")
     asks = F.array(*[F.struct(F.lit(i).alias("qa"), F.lit(a).alias("ask")) for i, a in enumerate(("goal", "tone", "origin"))])
     out = ranked.withColumn("q", F.explode(asks))
     masked = F.when(F.col("source").isin("system", "control", "stimulus_completion"), 2).otherwise(0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.text import base64_tag, capitalise, decapitalise, fill
@@ -272,14 +272,12 @@ def persona_lookup(spark: SparkSession, d: str) -> DataFrame:
 )
 def attribute_topk(spark: SparkSession, d: str) -> DataFrame:
     """Distinct counts and the 15 most common values of each attribute, ties by first appearance."""
-    from pyspark.sql import Window
-
     customer = table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"), F.col("c_nationkey").cast("string").alias("nation"), F.floor(F.col("c_acctbal") / 250).cast("string").alias("balance_band"))
     long = customer.unpivot(["c_custkey"], ["segment", "nation", "balance_band"], "attr", "v").where("v is not null")
     counts = long.groupBy("attr", "v").agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("first_seen"))
-    w = Window.partitionBy("attr")
-    ranked = counts.withColumn("rank", F.row_number().over(w.orderBy(F.desc("n"), "first_seen"))).withColumn("n_distinct", F.count(F.lit(1)).over(w))
-    return ranked.where("rank <= 15").drop("first_seen")
+    kinds = counts.groupBy("attr").agg(F.count(F.lit(1)).alias("n_distinct"))
+    top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("attr").orderBy(F.desc("n"), "first_seen"))).where("rank <= 15")
+    return top.join(kinds, "attr").drop("first_seen")
 
 
 @query(

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weftline.functions import stats, vectors
-from weftline.operators import joins
+from weftline.functions import vectors
+from weftline.operators import evals, joins
 from weftline.operators.neighbours import cosine_top_k
 from weftline.plans.dialect import key
 from weftline.plans.registry import query
@@ -205,12 +205,11 @@ def fill_missing(spark: SparkSession, d: str) -> DataFrame:
       round(case when hits > 0 then 2.0 * hits / (n_pred + n_true) else 0.0 end, 6) as f1, hits > 0 and 2.0 * hits / (n_pred + n_true) > 0.75 as kept from m""",
 )
 def precision_recall(spark: SparkSession, d: str) -> DataFrame:
-    """Scores of index sets by label, safe for empty sets. The sets of this table's labels are small; long ones are scored by joins."""
-    sets = table(spark, d, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list("vec_id")).alias("truth"))
-    predicted = F.concat(F.filter("truth", lambda x: x % 3 != 0), F.transform(F.filter("truth", lambda x: x % 5 == 0), lambda x: x + 100000))
-    scored = sets.withColumn("pred", predicted).withColumn("p", stats.precision(F.col("pred"), F.col("truth"))).withColumn("r", stats.recall(F.col("pred"), F.col("truth")))
-    f = stats.f1(F.col("p"), F.col("r"))
-    return scored.select("label", F.round("p", 6).alias("precision"), F.round("r", 6).alias("recall"), F.round(f, 6).alias("f1"), (f > 0.75).alias("kept"))
+    """Scores of index sets by label, safe for empty sets. The sets stay rows: a label's set never has to fit one task."""
+    truth = table(spark, d, "embeddings").select("label", "vec_id").distinct()
+    shifted = truth.where("vec_id % 5 = 0").select("label", F.col("vec_id") + 100000)
+    predicted = truth.where("vec_id % 3 <> 0").union(shifted)
+    return evals.set_scores(predicted, truth, ["label"], "vec_id").select("label", "precision", "recall", "f1", (F.col("f1") > 0.75).alias("kept"))
 
 
 @query(

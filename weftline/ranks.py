@@ -37,17 +37,18 @@ def shuffled_rank(df: DataFrame, key: str, salt: str, group: Sequence[str] = (),
     return bucketed_rank(keyed, group, F.substring("_m", 1, 3), [F.col("_m"), F.col(key)], rank=rank).drop("_m")
 
 
-def value_rank(df: DataFrame, value: str, tie: str, group: Sequence[str] = (), *, descending: bool = False, width: int = 1, rank: str = "rank") -> DataFrame:
+def value_rank(df: DataFrame, value: str, tie: str, group: Sequence[str] = (), *, descending: bool = False, buckets: int = 4096, rank: str = "rank") -> DataFrame:
     """The rank by ``value``, a whole number, then by ``tie``; nulls come last.
 
-    Buckets are ranges of ``value`` of the given width, so the table of bucket counts has as many
-    rows as there are distinct ranges. Use it for lengths, days, ordinals and other bounded numbers.
+    The range from the least to the greatest value is cut into ``buckets`` equal parts, so the table of
+    bucket counts stays small whatever the number of rows.
     """
     v = F.col(value)
-    b = F.floor(v / width)
+    ends = df.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    part = F.floor((v - F.col("_lo")).cast("double") * buckets / (F.col("_hi") - F.col("_lo") + 1))
     order = [v.desc_nulls_last() if descending else v.asc_nulls_last(), F.col(tie)]
-    last = F.lit((1 << 62) - 1)
-    return bucketed_rank(df, group, F.coalesce(-b if descending else b, last), order, rank=rank)
+    bucket = F.coalesce(-part if descending else part, F.lit(buckets + 1))
+    return bucketed_rank(df.crossJoin(F.broadcast(ends)), group, bucket, order, rank=rank).drop("_lo", "_hi")
 
 
 def bucketed_rank(df: DataFrame, group: Sequence[str], bucket: Column, order: Sequence[Column], *, rank: str = "rank") -> DataFrame:
