@@ -105,3 +105,30 @@ def test_weights_are_renamed_and_checked(spark, tmp_path):
     rows, bad = readers.weights(spark, str(tmp_path / "w"), {"dec": "w_dec"})
     assert rows.columns == ["i", "w_dec"]
     assert [r["i"] for r in bad.collect()] == [1]
+
+
+def test_configs_come_back(tmp_path):
+    from weftline.sources import config
+
+    p = str(tmp_path / "c.yaml")
+    config.save({"a": 1, "b": ["x"]}, p)
+    assert config.load(p) == {"a": 1, "b": ["x"]}
+    assert config.problems({"a": 1, "z": 2}, {"a", "b"}, {"a", "b"}) == ["missing: b", "unknown: z"]
+
+
+def test_run_trees_are_flattened(spark, tmp_path):
+    for name, score in (("m_mi5__run2", 4), ("m_mi0__run1", 2)):
+        put(tmp_path / "t" / name / "hypothesis_grade.json", json.dumps({"score": score, "grade": "ok"}))
+        put(tmp_path / "t" / name / "description.txt", " text \n")
+    put(tmp_path / "t" / "m_mi9__run9" / "hypothesis_grade.json", "{}")
+    rows = writers.flatten_runs(spark, str(tmp_path / "t"), str(tmp_path / "runs.jsonl")).collect()
+    assert sorted((r["mi"], r["run_idx"], r["score"], r["grade"]) for r in rows) == [(0, 1, 2, "ok"), (5, 2, 4, "ok")]
+    assert spark.read.json(str(tmp_path / "runs.jsonl")).count() == 2
+
+
+def test_metrics_sink_appends(spark, tmp_path):
+    from weftline.streaming import jobs
+
+    spark.createDataFrame([(1, 0.5), (2, 0.25)], "step int, loss double").write.parquet(str(tmp_path / "in" / "m.parquet"))
+    jobs.metrics_sink(jobs.table_stream(spark, str(tmp_path / "in"), "m"), str(tmp_path / "out"), str(tmp_path / "progress"))
+    assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("step", "loss").collect()) == [(1, 0.5), (2, 0.25)]

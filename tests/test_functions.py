@@ -186,3 +186,10 @@ def test_neighbours_skip_null_and_zero_vectors(spark):
     got = [tuple(r)[:3] for r in cosine_top_k(df, df, 2, block=2).where("vec_id = 1").orderBy("rank").collect()]
     assert got == [(1, 2, 1), (1, 6, 2)]
     assert cosine_top_k(df.limit(0), df, 2).count() == 0
+
+
+def test_full_unicode_folding(spark):
+    from weftline.functions.unicode import fold_unicode
+
+    got = [r["x"] for r in spark.createDataFrame([("Țuică, ﬁne—Smørrebrød",), (None,), ("",)], "t string").select(fold_unicode(F.col("t")).alias("x")).collect()]
+    assert got == ["tuica fine smørrebrød", None, ""]

@@ -122,7 +122,7 @@ def step_schedule(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "q12_balanced_downsample",
     f"""
-    with l as (select distinct sample_id, lower(trim(ds_label)) as label from context_qa_samples where lower(trim(ds_label)) in ('true', 'false', 'yes', 'no')),
+    with l as (select distinct sample_id, lower(trim(ds_label, ' ')) as label from context_qa_samples where lower(trim(ds_label, ' ')) in ('true', 'false', 'yes', 'no')),
     r as (select *, row_number() over (partition by label order by {key('sample_id', 'balance')}, sample_id) as rn from l),
     m as (select min(c) as least from (select label, count(*) as c from l group by label))
     select sample_id, label from r, m where rn <= least""",

@@ -252,7 +252,7 @@ def token_vs_sequence(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "q86_votes",
     f"""
-    with {_RESP}, v as (select result_id, {_NORMAL.format('response')} as a, i from r where response is not null and trim(response) <> ''),
+    with {_RESP}, v as (select result_id, {_NORMAL.format('response')} as a, i from r where response is not null and trim(response, ' ') <> ''),
     c as (select result_id, a, count(*) as votes, min(i) as first from v group by 1, 2),
     k as (select *, row_number() over (partition by result_id order by votes desc, first) as rank from c)
     select result_id, a as winner, votes from k where rank = 1""",

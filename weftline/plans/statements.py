@@ -60,7 +60,7 @@ def topic_qa(spark: SparkSession, d: str) -> DataFrame:
     with s as (select distinct sample_id, questions, answers from context_qa_samples where context is not null and len(questions) = len(answers)),
     e as (select sample_id, unnest(range(1, len(questions) + 1)) as i, questions, answers from s)
     select sample_id, i - 1 as question_no, 'Answer with ''Yes'' or ''No'' only. ' || regexp_replace(questions[i], '^# ', '') as question,
-      case when lower(trim(answers[i])) in ('1', 'true', 'yes') then 'Yes' else 'No' end as answer
+      case when lower(trim(answers[i], ' ')) in ('1', 'true', 'yes') then 'Yes' else 'No' end as answer
     from e where questions[i] is not null and answers[i] is not null""",
 )
 def binary_label_qa(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +198,7 @@ ASK_NEGATIVE = ["Is the mood of this dark?", "Does the writer sound annoyed?", "
 @query(
     "q20_sentiment_aligned_paraphrase",
     f"""
-    with l as (select distinct sample_id, lower(trim(ds_label)) as label from context_qa_samples where lower(trim(ds_label)) in ('positive', 'negative')),
+    with l as (select distinct sample_id, lower(trim(ds_label, ' ')) as label from context_qa_samples where lower(trim(ds_label, ' ')) in ('positive', 'negative')),
     k as (select *, {below('sample_id', 'mood.i', '3')} as i, {below('sample_id', 'mood.ask', '2')} as ask from l)
     select sample_id, case when ask = 1 then {_sql_list(ASK_POSITIVE)}[1 + i] else {_sql_list(ASK_NEGATIVE)}[1 + i] end as question,
       case when (ask = 1) = (label = 'positive') then 'Yes' else 'No' end as answer, label as ds_label from k""",
@@ -215,8 +215,8 @@ def sentiment_aligned(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "q22_nli_binary",
     """
-    select distinct sample_id, 'Premise: ' || context || ' Does it follow?' as prompt, case lower(trim(ds_label)) when 'entailment' then 'Yes' else 'No' end as answer
-    from context_qa_samples where lower(trim(ds_label)) in ('entailment', 'contradiction') and context is not null""",
+    select distinct sample_id, 'Premise: ' || context || ' Does it follow?' as prompt, case lower(trim(ds_label, ' ')) when 'entailment' then 'Yes' else 'No' end as answer
+    from context_qa_samples where lower(trim(ds_label, ' ')) in ('entailment', 'contradiction') and context is not null""",
 )
 def nli_binary(spark: SparkSession, d: str) -> DataFrame:
     """Codes mapped to answers, the neutral one dropped."""
@@ -283,7 +283,7 @@ def attribute_topk(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "q26_answer_first_qa",
     f"""
-    with l as (select distinct sample_id, lower(trim(ds_label)) as label from context_qa_samples where lower(trim(ds_label)) in ('past', 'present', 'future', 'single', 'multiple', 'dual')),
+    with l as (select distinct sample_id, lower(trim(ds_label, ' ')) as label from context_qa_samples where lower(trim(ds_label, ' ')) in ('past', 'present', 'future', 'single', 'multiple', 'dual')),
     o as (select list_sort(list(distinct label)) as options from l),
     k as (select l.*, {below('sample_id', 'tense.answer', '2')} = 1 as yes, list_filter(options, lambda x: x <> label) as others from l, o)
     select sample_id, case when yes or len(others) = 0 then label else others[1 + {below('sample_id', 'tense.other', 'greatest(len(others), 1)')}] end as asked, case when yes or len(others) = 0 then 'Yes' else 'No' end as answer, label as ds_label from k""",
@@ -301,7 +301,7 @@ def answer_first_qa(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "q27_shuffled_quota_qa",
     f"""
-    with l as (select distinct sample_id, lower(trim(ds_label)) as label from context_qa_samples where lower(trim(ds_label)) in ('first_person', 'third_person')),
+    with l as (select distinct sample_id, lower(trim(ds_label, ' ')) as label from context_qa_samples where lower(trim(ds_label, ' ')) in ('first_person', 'third_person')),
     m as (select count(*) as quota from l where label = 'third_person'),
     r as (select l.*, row_number() over (partition by label order by {key('sample_id', 'quota')}, sample_id) as rn from l)
     select sample_id, label, 'This text is about a ' || replace(label, '_', ' ') || '.' as suffix from r, m where label <> 'first_person' or rn <= quota""",

@@ -65,10 +65,10 @@ def tag_parse(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "q74_parse_names",
     """
-    with n as (select distinct config_id, dataset_name, model_name, 'runs/' || lower(trim(dataset_name)) || '/lr_' || (1 + config_id % 3) || 'e-5_mi' || (config_id % 50) || '__run' || (config_id % 7) as path from dataset_loader_configs)
+    with n as (select distinct config_id, dataset_name, model_name, 'runs/' || lower(trim(dataset_name, ' ')) || '/lr_' || (1 + config_id % 3) || 'e-5_mi' || (config_id % 50) || '__run' || (config_id % 7) as path from dataset_loader_configs)
     select config_id, regexp_extract(path, '([^/]*)$', 1) as leaf, cast(regexp_extract(path, 'lr_([0-9]+e-?[0-9]+)', 1) as double) as lr, cast(regexp_extract(path, '__?run([0-9]+)$', 1) as int) as run,
-      cast(regexp_extract(path, 'mi([0-9]+)__', 1) as int) as mi, translate(model_name, '/. ', '___') as safe, regexp_replace(lower(trim(dataset_name)), '^classification_', '') as short_name,
-      upper(substr(replace(lower(trim(dataset_name)), '_', ' '), 1, 1)) || substr(replace(lower(trim(dataset_name)), '_', ' '), 2) as title, left(path, 12) as label,
+      cast(regexp_extract(path, 'mi([0-9]+)__', 1) as int) as mi, translate(model_name, '/. ', '___') as safe, regexp_replace(lower(trim(dataset_name, ' ')), '^classification_', '') as short_name,
+      upper(substr(replace(lower(trim(dataset_name, ' ')), '_', ' '), 1, 1)) || substr(replace(lower(trim(dataset_name, ' ')), '_', ' '), 2) as title, left(path, 12) as label,
       regexp_replace(regexp_extract(split_part('img/' || model_name || '.jpg#0', '#', 1), '([^/]*)$', 1), '[.][A-Za-z0-9]+$', '') as stem from n""",
 )
 def parse_names(spark: SparkSession, d: str) -> DataFrame:

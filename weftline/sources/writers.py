@@ -59,3 +59,18 @@ def migrate(spark: SparkSession, source: str, target: str, schema: str, renames:
     others = [c for c in rows.columns if c not in renames and c not in renames.values()]
     rows.select(*others, *new).write.mode("overwrite").json(target)
     return spark.read.json(target)
+
+
+def flatten_runs(spark: SparkSession, folder: str, target: str, pattern: str = r"_mi\d+") -> DataFrame:
+    """A tree of run folders (grade and description each) as one table of records: run, mi, run_idx, score, grade, description."""
+    from weftline.sources.readers import discover_runs
+
+    found = discover_runs(spark, folder, "hypothesis_grade.json", "description.txt", pattern)
+    at = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("folder")
+    grades = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "hypothesis_grade.json").schema("score int, grade string").option("multiLine", True).json(folder).select("*", at)
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "description.txt").text(folder, wholetext=True).select(F.trim("value").alias("description"), at)
+    key = lambda df: df.withColumn("folder", F.regexp_replace("folder", "^file:/+", "/"))
+    runs = key(found).join(key(grades), "folder").join(key(texts), "folder")
+    rows = runs.select(F.substring_index("folder", "/", -1).alias("name"), "mi", F.col("run").alias("run_idx"), "score", "grade", "description")
+    rows.write.mode("overwrite").json(target)
+    return rows
