@@ -26,7 +26,13 @@ TRAIN_DOCUMENTS, TRAIN_SENTENCES = 400, 2000
 LEAST_WORDS, LEAST_CONFIDENCE, OTHER_CONFIDENCE = 5, 0.8, 0.93
 
 _INVISIBLE = re.compile(r"[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\ufffd\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x84\x86-\x9f]")
-_MARKUP = re.compile(r"<[/!]?[A-Za-z|][^<>\n]{0,200}>|&#?\w{1,8};|https?://\S+|[\w.\[\]\"']+ ?=+ ?\S+")
+#: Markup by a sign that a text must hold for it: tags, entities, addresses and assignments.
+_MARKUP = (
+    ("<", re.compile(r"<[/!]?[A-Za-z|][^<>\n]{0,200}>")),
+    ("&", re.compile(r"&#?\w{1,8};")),
+    ("http", re.compile(r"https?://\S+")),
+    ("=", re.compile(r"(?<!\S)[^\s=]+ ?=+ ?\S+")),
+)
 _LABEL = re.compile(r"^[\W\d_]*[^\W\d_]+:\s")
 _BREAK = re.compile(r"\n+|(?<=[.!?\u2026])[\"\u201d\u00bb\u2019')\]*_]*\s+|(?<=[\u3002\uff01\uff1f])")
 _WORD = re.compile(r"[\u3400-\u9fff]|[^\W_\u3400-\u9fff]+")
@@ -36,7 +42,11 @@ def clean(text: str) -> str:
     """The text without invisible characters, with markup blanked out (same places, so offsets hold for what is left)."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", text)
-    return _MARKUP.sub(lambda m: " " * len(m[0]), _INVISIBLE.sub("", text))
+    text = _INVISIBLE.sub("", text)
+    for sign, pattern in _MARKUP:
+        if sign in text:
+            text = pattern.sub(lambda m: " " * len(m[0]), text)
+    return text
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
