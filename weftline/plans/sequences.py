@@ -26,7 +26,7 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "q21_entity_spans",
     f"""
-    with d as (select doc_id, {sql_tokens('text')} as toks from documents where source like 'persona_bios%'),
+    with d as (select doc_id, {sql_tokens('text')} as toks from documents where starts_with(source, 'persona_bios')),
     e as (select doc_id, unnest(range(1, len(toks) + 1)) as pos, toks from d),
     t as (select doc_id, pos, toks[pos] as tok, regexp_matches(toks[pos], '^[A-Z]') as ent from e),
     f as (select *, case when ent and not coalesce(lag(ent) over (partition by doc_id order by pos), false) then 1 else 0 end as start_flag from t),
@@ -35,7 +35,7 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
 )
 def entity_spans(spark: SparkSession, d: str) -> DataFrame:
     """Gaps and islands: runs of capitalised tokens become entities. A window holds one document."""
-    docs = table(spark, d, "documents").where(F.col("source").like("persona_bios%"))
+    docs = table(spark, d, "documents").where(F.col("source").startswith("persona_bios"))
     t = docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "tok")).withColumn("ent", F.col("tok").rlike("^[A-Z]"))
     w = Window.partitionBy("doc_id").orderBy("pos")
     start = F.col("ent") & ~F.coalesce(F.lag("ent").over(w), F.lit(False))
