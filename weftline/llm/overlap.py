@@ -20,13 +20,14 @@ SIMILARITY = 0.8
 #: Texts with fewer words are no cases.
 LEAST_WORDS = 8
 
-#: Largest Hamming distance between the 64-bit fingerprints of a pair. Words in common for four fifths
-#: put the expected distance at 13 with a deviation of 3.2.
-RADIUS = 26
+#: Largest Hamming distance between the 64-bit fingerprints of a pair, and the largest of a pair that agrees on one
+#: block only. Four fifths of the words in common put the expected distance at 13 with a deviation of 3.2,
+#: and a pair so alike agrees on seven blocks on average.
+RADIUS, LONE_RADIUS = 26, 18
 
 #: Code blocks of a text, and informative words in each. Two texts that share a part J of their
 #: informative words agree on one block with probability J^WORDS_IN_BLOCK.
-BLOCKS, WORDS_IN_BLOCK = 16, 3
+BLOCKS, WORDS_IN_BLOCK = 24, 3
 
 #: A word is informative if at most this share of the texts holds its hash bucket, of 2^_BUCKET_BITS.
 COMMON_SHARE, _BUCKET_BITS = 0.01, 16
@@ -161,11 +162,11 @@ def cross_split_pairs(df: DataFrame, *, key: str = "sample_id", text: str = "con
     Method: similarity-hash fingerprints. (1) One scan gives each text a 64-bit fingerprint and its
     word hashes, written to the shared folder. (2) Equal texts become one class, by partial
     aggregation, so a text that a third of the rows share is one row from here on. (3) Each class
-    has BLOCKS code blocks: hashes of the first informative words in a permuted order. Classes of the two
-    sides that agree on a block and whose fingerprints lie within the Hamming radius are candidates. (4) Candidates are
-    verified on whole texts. (5) Classes are expanded to their records. Blocks are of words, not of
-    bits of the fingerprint, because near texts differ in up to RADIUS of 64 bits, and any cut of 64 bits into
-    more than RADIUS blocks is too short to join on.
+    has BLOCKS code blocks: hashes of its first informative words in a permuted order. Classes of the two
+    sides that agree on a block are candidates if their fingerprints lie within the Hamming radius, which is
+    smaller for a pair that agrees on one block only. (4) Candidates are verified on whole texts. (5) Classes
+    are expanded to their records. Blocks are of words, not of bits of the fingerprint, because near texts differ in
+    up to RADIUS of 64 bits, and any cut of 64 bits into more than RADIUS blocks is too short to join on.
 
     Defined cases: records without a known split, without text or with fewer than LEAST_WORDS words
     are in no pair; a record delivered several times counts once; further columns are ignored.
@@ -178,25 +179,25 @@ def cross_split_pairs(df: DataFrame, *, key: str = "sample_id", text: str = "con
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [np.frombuffer(x, "<u4") for x in batch.column(3).to_pylist()]
+            lists = [np.frombuffer(x, "<u4") for x in batch.column(1).to_pylist()]
             if not lists:
                 continue
             text, code = code_blocks(np.concatenate(lists), np.fromiter(map(len, lists), np.int64, len(lists)), common)
-            rows = batch.select([0, 1, 2]).take(pa.array(text))
-            yield pa.RecordBatch.from_arrays([pa.array(code), *rows.columns], ["block", "rep", "print", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(code), batch.column(0).take(pa.array(text))], ["block", "rep"])
 
     classes = prints.groupBy("k1", "k2").agg(
         F.min("id").alias("rep"), F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval"),
-        F.first("print").alias("print"), F.first("n").alias("n"), F.first("words").alias("words"),
+        F.first("words").alias("words"),
     )
-    schema = "block bigint, rep bigint, print bigint, n int"
-    a = classes.where("in_train").select("rep", "print", "n", "words").mapInArrow(emit, schema).toDF("block", "a", "pa", "na")
-    b = classes.where("in_eval").select("rep", "print", "n", "words").mapInArrow(emit, schema).toDF("block", "b", "pb", "nb")
+    a = classes.where("in_train").select("rep", "words").mapInArrow(emit, "block bigint, rep bigint").toDF("block", "a")
+    b = classes.where("in_eval").select("rep", "words").mapInArrow(emit, "block bigint, rep bigint").toDF("block", "b")
+    marks = prints.groupBy("id").agg(F.first("print").alias("print"), F.first("n").alias("n"))
     near = (
-        a.join(b, "block")
-        .where((F.col("a") != F.col("b")) & (F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= RADIUS))
+        a.join(b, "block").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("agreed"))
+        .join(marks.toDF("a", "pa", "na"), "a").join(marks.toDF("b", "pb", "nb"), "b")
+        .where(F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= F.when(F.col("agreed") > 1, RADIUS).otherwise(LONE_RADIUS))
         .where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9)
-        .select("a", "b").distinct()
+        .select("a", "b")
     )
     candidates = materialize(near, "candidates")
     ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -211,10 +212,8 @@ def cross_split_pairs(df: DataFrame, *, key: str = "sample_id", text: str = "con
             out.append(common_in_order(p, q) / max(len(p), len(q)))
         return pd.Series(out, dtype="float64")
 
-    of_a = texts.select(F.col("id").alias("a"), F.col("words").alias("wa"))
-    of_b = texts.select(F.col("id").alias("b"), F.col("words").alias("wb"))
-    with_both = candidates.join(of_a, "a").join(of_b, "b")
-    verified = with_both.where(share("wa", "wb") >= similarity - 1e-9).select("a", "b")
+    both = candidates.join(texts.toDF("a", "wa"), "a").join(texts.toDF("b", "wb"), "b")
+    verified = both.where(share("wa", "wb") >= similarity - 1e-9).select("a", "b")
 
     reps = classes.select("k1", "k2", "rep", "in_train", "in_eval")
     shared = reps.where("in_train and in_eval").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
