@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import stats, text
 from weftline.operators import evals, joins
-from weftline.plans.dialect import TURNS, below
+from weftline.plans.dialect import below
 from weftline.plans.registry import query
 from weftline.rand import md5_below
 from weftline.storage import table
