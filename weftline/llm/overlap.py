@@ -168,6 +168,8 @@ def cross_split_pairs(df: DataFrame, *, key: str = "sample_id", text: str = "con
     are expanded to their records. Blocks are of words, not of bits of the fingerprint, because near texts differ in
     up to RADIUS of 64 bits, and any cut of 64 bits into more than RADIUS blocks is too short to join on.
 
+    Not found, but for chance: pairs of texts with more than eight informative words that share common words only.
+
     Defined cases: records without a known split, without text or with fewer than LEAST_WORDS words
     are in no pair; a record delivered several times counts once; further columns are ignored.
     """
