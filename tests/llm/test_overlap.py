@@ -103,3 +103,27 @@ def test_far_fingerprints_are_rare():
         distances.append(int(prints[0][0] ^ prints[1][0]).bit_count())
     assert max(distances) <= overlap.RADIUS
     assert np.mean(distances) == pytest.approx(12, abs=4)
+
+
+def pairs_and_truth(spark, texts):
+    """Texts alternate between the splits."""
+    rows = [(i, "d", ("train", "test")[i % 2], " ".join(ws)) for i, ws in enumerate(texts)]
+    want = {(i, j) for i in range(0, len(texts), 2) for j in range(1, len(texts), 2) if slow_lcs(texts[i], texts[j]) >= 0.8 * max(len(texts[i]), len(texts[j]))}
+    got = [(r["train_id"], r["eval_id"]) for r in overlap.cross_split_pairs(spark.createDataFrame(rows, SCHEMA)).collect()]
+    return sorted(got), sorted(want)
+
+
+def test_few_rare_words_against_more_of_them(spark):
+    random.seed(3)
+    common = ["c%d" % i for i in range(60)]
+    texts = []
+    for g in range(40):
+        base = random.sample(common, 20) + ["r%dx%d" % (g, i) for i in range(5)]
+        random.shuffle(base)
+        more = list(base)
+        for i in range(4):
+            more.insert(random.randrange(len(more)), "s%dx%d" % (g, i))
+        texts += [base, more]
+    got, want = pairs_and_truth(spark, texts)
+    assert len(want) >= 40
+    assert got == want

@@ -20,17 +20,12 @@ SIMILARITY = 0.8
 #: Texts with fewer words are no cases.
 LEAST_WORDS = 8
 
-#: Largest Hamming distance between the 64-bit fingerprints of a pair, and the largest of a pair that agrees on one
-#: block only. Four fifths of the words in common put the expected distance at 13 with a deviation of 3.2,
-#: and a pair so alike agrees on seven blocks on average.
-RADIUS, LONE_RADIUS = 26, 18
+#: Largest Hamming distance between the 64-bit fingerprints of a pair.
+#: Four fifths of the words in common put the expected distance at 13 with a deviation of 3.2.
+RADIUS = 26
 
-#: Code blocks of a text, and informative words in each. Two texts that share a part J of their
-#: informative words agree on one block with probability J^WORDS_IN_BLOCK.
-BLOCKS, WORDS_IN_BLOCK = 24, 3
-
-#: A word is informative if at most this share of the texts holds its hash bucket, of 2^_BUCKET_BITS.
-COMMON_SHARE, _BUCKET_BITS = 0.01, 16
+#: Words are ordered by the frequency of their hash bucket, of 2^_BUCKET_BITS.
+_BUCKET_BITS = 16
 
 #: The ids of up to this many candidate pairs (16 bytes each) are broadcast to pick out their texts; above it, they are shuffled.
 BROADCAST_PAIRS = 500_000
@@ -112,38 +107,34 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], texts))], ["bucket", "n"])
 
 
-def code_blocks(flat: np.ndarray, sizes: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, block code): for each of BLOCKS permutations of the words, a code of the WORDS_IN_BLOCK first informative words of the text.
+def least_common(n, similarity: float):
+    """Words in order that a text of n words has in common with any text it pairs with, at least."""
+    return np.ceil((similarity - 1e-9) * n).astype(np.int64)
 
-    A text with few informative words takes all of its words; near the border it takes both ways.
-    """
+
+def occurrences(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, word hash, code), ordered by text: the code is of the word and of how often it came before in its text, so no text has a code twice."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    informative = ~common[flat & (len(common) - 1)]
-    held = np.bincount(owner[informative], minlength=len(sizes))
-    texts, codes = [], []
-    for way, (mask, own) in enumerate(((informative, held >= 6), (np.ones(len(flat), bool), held <= 8))):
-        use = mask & own[owner]
-        if not use.any():
-            continue
-        w, o = flat[use].astype(np.uint64), owner[use]
-        first = np.flatnonzero(np.concatenate(([True], o[1:] != o[:-1])))
-        length = np.diff(np.append(first, len(o)))
-        with np.errstate(over="ignore"):
-            for p in range(BLOCKS):
-                h = (w + np.uint64(p * 7919 + way)) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-                h = h * np.uint64(0xBF58476D1CE4E5B9) | np.uint64(1)
-                code = np.full(len(first), p * 2 + way, np.uint64)
-                for _ in range(WORDS_IN_BLOCK + way):
-                    least = np.minimum.reduceat(h, first)
-                    code = (code ^ least) * np.uint64(0x94D049BB133111EB)
-                    code ^= code >> np.uint64(31)
-                    h = np.where(h == np.repeat(least, length), np.uint64(0xFFFFFFFFFFFFFFFF), h)
-                texts.append(o[first])
-                codes.append(code)
-    if not texts:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    return np.concatenate(texts), np.concatenate(codes).view(np.int64)
+    order = np.lexsort((flat, owner))
+    w, at = flat[order].astype(np.uint64), np.arange(len(flat))
+    first = np.concatenate(([True], (w[1:] != w[:-1]) | (owner[1:] != owner[:-1])))
+    seen = (at - np.maximum.accumulate(np.where(first, at, 0))).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        code = (w | seen << np.uint64(32)) * np.uint64(0x9E3779B97F4A7C15)
+        code = (code ^ code >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    return owner, w, code ^ code >> np.uint64(32)
+
+
+def rarest(owner: np.ndarray, w: np.ndarray, code: np.ndarray, sizes: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """(text index, code) of the rarest occurrences of each text, so many that two similar texts share one of them for certain.
+
+    A text of n words that has c in common with another lacks n - c there. In one order of all codes, the first n - c + 1 of both
+    texts share a code: else all common ones would come after the earlier of the two ends, where fewer than c are left.
+    """
+    order = np.lexsort((code, counts[w & np.uint64(len(counts) - 1)], owner))
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    kept = place <= (sizes - least_common(sizes, similarity))[owner]
+    return owner[kept], code[order][kept].view(np.int64)
 
 
 def fingerprint_table(df: DataFrame, *, key: str, text: str, split: str) -> DataFrame:
@@ -159,47 +150,45 @@ def cross_split_pairs(df: DataFrame, *, key: str = "sample_id", text: str = "con
 
     Nearly equal: the longest common subsequence of words has at least ``similarity`` of the words of the longer text.
 
-    Method: similarity-hash fingerprints. (1) One scan gives each text a 64-bit fingerprint and its
+    Method: an exact prefix filter. (1) One scan gives each text a 64-bit fingerprint and its
     word hashes, written to the shared folder. (2) Equal texts become one class, by partial
-    aggregation, so a text that a third of the rows share is one row from here on. (3) Each class
-    has BLOCKS code blocks: hashes of its first informative words in a permuted order. Classes of the two
-    sides that agree on a block are candidates if their fingerprints lie within the Hamming radius, which is
-    smaller for a pair that agrees on one block only. (4) Candidates are verified on whole texts. (5) Classes
-    are expanded to their records. Blocks are of words, not of bits of the fingerprint, because near texts differ in
-    up to RADIUS of 64 bits, and any cut of 64 bits into more than RADIUS blocks is too short to join on.
-
-    Not found, but for chance: pairs of texts with more than eight informative words that share common words only.
+    aggregation, so a text that a third of the rows share is one row from here on. (3) Each class emits its
+    rarest words, one more than it may lack in a similar text. Classes of the two sides that agree on one
+    are candidates if their lengths allow the similarity and their fingerprints lie within the Hamming
+    radius. (4) Candidates are verified on whole texts. (5) Classes are expanded to their records.
 
     Defined cases: records without a known split, without text or with fewer than LEAST_WORDS words
     are in no pair; a record delivered several times counts once; further columns are ignored.
     """
     prints = fingerprint_table(df, key=key, text=text, split=split)
     counted = {r["bucket"]: r["n"] for r in prints.select("words").mapInArrow(_counts, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
-    limit = COMMON_SHARE * counted.pop(-1, 0)  # at most 2^_BUCKET_BITS counters come to the driver
-    common = np.zeros(1 << _BUCKET_BITS, bool)
-    common[[b for b, n in counted.items() if n > max(limit, 5)]] = True
+    counts = np.zeros(1 << _BUCKET_BITS, np.int64)  # at most 2^_BUCKET_BITS counters come to the driver
+    for bucket, n in counted.items():
+        if bucket >= 0:
+            counts[bucket] = n
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [np.frombuffer(x, "<u4") for x in batch.column(1).to_pylist()]
             if not lists:
                 continue
-            text, code = code_blocks(np.concatenate(lists), np.fromiter(map(len, lists), np.int64, len(lists)), common)
-            yield pa.RecordBatch.from_arrays([pa.array(code), batch.column(0).take(pa.array(text))], ["block", "rep"])
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            text, code = rarest(*occurrences(np.concatenate(lists), sizes), sizes, counts, similarity)
+            rest = [c.take(pa.array(text)) for c in (batch.column(0), batch.column(2))]
+            yield pa.RecordBatch.from_arrays([pa.array(code), rest[0], pa.array(sizes[text].astype(np.int32)), rest[1]], ["code", "rep", "n", "print"])
 
     classes = prints.groupBy("k1", "k2").agg(
         F.min("id").alias("rep"), F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval"),
-        F.first("words").alias("words"),
+        F.first("words").alias("words"), F.first("print").alias("print"),
     )
-    a = classes.where("in_train").select("rep", "words").mapInArrow(emit, "block bigint, rep bigint").toDF("block", "a")
-    b = classes.where("in_eval").select("rep", "words").mapInArrow(emit, "block bigint, rep bigint").toDF("block", "b")
-    marks = prints.groupBy("id").agg(F.first("print").alias("print"), F.first("n").alias("n"))
+    rows = "code bigint, rep bigint, n int, print bigint"
+    a = classes.where("in_train").select("rep", "words", "print").mapInArrow(emit, rows).toDF("code", "a", "na", "pa")
+    b = classes.where("in_eval").select("rep", "words", "print").mapInArrow(emit, rows).toDF("code", "b", "nb", "pb")
     near = (
-        a.join(b, "block").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("agreed"))
-        .join(marks.toDF("a", "pa", "na"), "a").join(marks.toDF("b", "pb", "nb"), "b")
-        .where(F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= F.when(F.col("agreed") > 1, RADIUS).otherwise(LONE_RADIUS))
-        .where(F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb") - 1e-9)
-        .select("a", "b")
+        a.join(b, "code").where("a <> b")
+        .where(F.least("na", "nb") >= F.lit(similarity - 1e-9) * F.greatest("na", "nb"))
+        .where(F.bit_count(F.col("pa").bitwiseXOR(F.col("pb"))) <= RADIUS)
+        .select("a", "b").distinct()
     )
     candidates = materialize(near, "candidates")
     ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
