@@ -127,3 +127,27 @@ def test_few_rare_words_against_more_of_them(spark):
     got, want = pairs_and_truth(spark, texts)
     assert len(want) >= 40
     assert got == want
+
+
+def test_only_common_words_in_common(spark):
+    random.seed(5)
+    common = ["c%d" % i for i in range(60)]
+    texts = []
+    for g in range(40):
+        base = random.sample(common, 36) + ["r%dx%d" % (g, i) for i in range(9)]
+        random.shuffle(base)
+        texts += [base, ["s%dx%s" % (g, w) if w[0] == "r" else w for w in base]]
+    got, want = pairs_and_truth(spark, texts)
+    assert len(want) >= 40
+    assert got == want
+
+
+def test_parities_bound_what_is_not_shared():
+    random.seed(9)
+    for _ in range(200):
+        a = [random.randrange(300) for _ in range(random.randrange(8, 120))]
+        b = [w if random.random() < 0.8 else random.randrange(300) for w in a]
+        sizes = np.array([len(a), len(b)])
+        owner, _, code = overlap.occurrences(np.array(a + b, "<u4"), sizes)
+        bits = np.unpackbits(overlap.parities(owner, code, 2).view(np.uint8), axis=1)
+        assert (bits[0] != bits[1]).sum() <= len(a) + len(b) - 2 * slow_lcs(a, b)
