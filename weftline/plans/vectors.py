@@ -173,10 +173,13 @@ def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
 def decode_reconstruct(spark: SparkSession, d: str) -> DataFrame:
     """f W + b: active features times their rows, summed by (row, dimension)."""
     e = embeddings(spark, d)
-    dictionary = e.orderBy("vec_id").limit(FEATURES).select(F.col("v").alias("w"))
-    act = e.where("vec_id % 50 = 0").crossJoin(F.broadcast(dictionary)).select("vec_id", vectors.threshold_relu(vectors.dot(F.col("v"), F.col("w")), 0.05).alias("act"), "w")
-    x = act.select("vec_id", "act", F.posexplode("w").alias("dim", "w"))
-    return x.groupBy("vec_id", F.col("dim").cast("bigint").alias("dim")).agg(F.round(F.sum(F.col("act") * F.col("w")) + 0.01, 6).alias("y"))
+    dictionary = e.orderBy("vec_id").limit(FEATURES).agg(F.transform(F.array_sort(F.collect_list(F.struct("vec_id", "v"))), lambda s: s["v"]).alias("f"))
+    act = e.crossJoin(F.broadcast(dictionary)).select("vec_id", "f", F.transform("f", lambda w: vectors.threshold_relu(vectors.dot(F.col("v"), w), 0.05)).alias("act"))
+    shares = F.zip_with("act", "f", lambda a, w: F.transform(w, lambda x: a * x))
+    zeros = F.transform(F.get("f", F.lit(0)), lambda _: F.lit(0.0))
+    y = F.aggregate(shares, zeros, lambda s, x: F.zip_with(s, x, lambda p, q: p + q))
+    x = act.select("vec_id", F.posexplode(y).alias("dim", "y"))
+    return x.select("vec_id", F.col("dim").cast("bigint").alias("dim"), F.round(F.col("y") + 0.01, 6).alias("y"))
 
 
 @query(
