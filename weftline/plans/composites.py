@@ -37,7 +37,7 @@ def preview(spark: SparkSession, d: str) -> DataFrame:
 def token_logprobs(spark: SparkSession, d: str) -> DataFrame:
     """Log-probabilities sorted, the probability of a target token, and 0 where it isn't the first."""
     entry = lambda t, salt: F.struct((-(md5_below("event_id", salt, 500) + 1) / 100.0).alias("lp"), F.lit(t).alias("token"))
-    e = table(spark, d, "events").where("event_id % 7 = 0").select("event_id", F.array(entry("Yes", "lp1"), entry("No", "lp2"), entry("?", "lp3")).alias("l"))
+    e = table(spark, d, "events").select("event_id", F.array(entry("Yes", "lp1"), entry("No", "lp2"), entry("?", "lp3")).alias("l"))
     top = F.array_max(F.transform("l", lambda x: x["lp"]))
     yes = F.get(F.filter("l", lambda x: x["token"] == "Yes"), F.lit(0))["lp"]
     return e.select("event_id", F.round(F.exp(yes), 9).alias("p_yes"), F.round(F.exp(top), 9).alias("p_top"), F.round(F.when(yes == top, F.exp(yes)).otherwise(0.0), 9).alias("p_if_first"))
@@ -66,7 +66,7 @@ def map_merge(spark: SparkSession, d: str) -> DataFrame:
     select event_id, strftime(ts, '%Y%m%d') as day, strftime(ts, '%Y-%m-%d-%H-%M-%S') as stamp, 'events_' || strftime(ts, '%Y%m%d') || '_' || event_type as name from events where event_id % 5 = 0""",
 )
 def date_stamps(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where("event_id % 5 = 0")
+    e = table(spark, d, "events")
     day = F.date_format("ts", "yyyyMMdd")
     return e.select("event_id", day.alias("day"), F.date_format("ts", "yyyy-MM-dd-HH-mm-ss").alias("stamp"), F.concat(F.lit("events_"), day, F.lit("_"), "event_type").alias("name"))
 
