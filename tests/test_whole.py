@@ -10,6 +10,7 @@ CUTS = {
     "q58_decode_reconstruct": [(" where e.vec_id % 50 = 0", "")],
     "q99_token_logprobs": [(" where event_id % 7 = 0", "")],
     "q101_date_stamps": [(" where event_id % 5 = 0", "")],
+    "q103_alternate_keys": [("left(context, 40)", "context")],
 }
 
 

@@ -98,7 +98,7 @@ def alternate_keys(spark: SparkSession, d: str) -> DataFrame:
     """The first non-empty of several fields, markers taken out of text, and labels mapped to verdicts."""
     s = table(spark, d, "context_qa_samples").select("sample_id", "dataset_name", "context", "ds_label").distinct()
     label = F.coalesce(F.nullif(F.trim("ds_label"), F.lit("")), F.nullif("dataset_name", F.lit("")), F.lit("(none)"))
-    marked = F.concat(F.lit("<image> "), F.coalesce(F.left("context", F.lit(40)), F.lit("")), F.lit(" <IMAGE>"))
+    marked = F.concat(F.lit("<image> "), F.coalesce("context", F.lit("")), F.lit(" <IMAGE>"))
     verdicts = F.create_map(*[F.lit(x) for x in ("entailment", "yes", "contradiction", "no", "neutral", "maybe")])
     return s.select("sample_id", label.alias("label"), F.trim(F.regexp_replace(marked, "(?i)[ ]*<image>[ ]*", " ")).alias("caption")).withColumn("verdict", F.try_element_at(verdicts, F.lower("label")))
 
