@@ -11,6 +11,9 @@ CUTS = {
     "q99_token_logprobs": [(" where event_id % 7 = 0", "")],
     "q101_date_stamps": [(" where event_id % 5 = 0", "")],
     "q103_alternate_keys": [("left(context, 40)", "context")],
+    "q21_entity_spans": [(" where starts_with(source, 'persona_bios')", "")],
+    "q93_token_activations": [(" where starts_with(source, 'feature_notes')", ""), ("least(len(t), 8)", "len(t)")],
+    "q104_patch_prompts": [(" where starts_with(source, 'statement_sheets')", "")],
 }
 
 

@@ -111,7 +111,7 @@ def alternate_keys(spark: SparkSession, d: str) -> DataFrame:
 )
 def patch_prompts(spark: SparkSession, d: str) -> DataFrame:
     """Tokens up to and with a place as the prompt; a trailing marker letter of the target is cut and the rest lowered."""
-    docs = table(spark, d, "documents").where(F.col("source").startswith("statement_sheets")).select("doc_id", text.tokens(F.col("text")).alias("t"), md5_below("doc_id", "patch", 12).cast("int").alias("p")).where("size(t) > p")
+    docs = table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("t"), md5_below("doc_id", "patch", 12).cast("int").alias("p")).where("size(t) > p")
     last = F.try_element_at("t", F.lit(-1))
     target = F.when(F.endswith(last, F.lit("x")), F.lower(F.left(last, F.length(last) - 1))).otherwise(last)
     return docs.select("doc_id", F.array_join(seq.py_slice(F.col("t"), 0, F.col("p") + 1), " ").alias("source_prompt"), target.alias("target"))

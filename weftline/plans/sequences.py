@@ -34,14 +34,15 @@ def turns(spark: SparkSession, d: str) -> DataFrame:
     select doc_id, cast(span_no as bigint) as span_no, min(pos) - 1 as begin_pos, string_agg(tok, ' ' order by pos) as entity from g where ent group by doc_id, span_no""",
 )
 def entity_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Gaps and islands: runs of capitalised tokens become entities. A window holds one document."""
-    docs = table(spark, d, "documents").where(F.col("source").startswith("persona_bios"))
-    t = docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "tok")).withColumn("ent", F.col("tok").rlike("^[A-Z]"))
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    start = F.col("ent") & ~F.coalesce(F.lag("ent").over(w), F.lit(False))
-    spans = t.withColumn("start", start.cast("int")).withColumn("span_no", F.sum("start").over(w)).where("ent")
-    merged = F.array_sort(F.collect_list(F.struct("pos", "tok")))
-    return spans.groupBy("doc_id", "span_no").agg(F.min("pos").cast("bigint").alias("begin_pos"), F.array_join(F.transform(merged, lambda s: s["tok"]), " ").alias("entity"))
+    """Gaps and islands: runs of capitalised tokens become entities, within the row of their document."""
+    docs = table(spark, d, "documents").select("doc_id", tokens(F.col("text")).alias("toks"))
+    flags = docs.select("doc_id", "toks", F.transform("toks", lambda t: t.rlike("^[A-Z]")).alias("ent"))
+    at = lambda i: F.coalesce(F.get("ent", i), F.lit(False))
+    begins = F.filter(F.transform("ent", lambda e, i: F.when(e & ~at(i - 1), i)), lambda i: i.isNotNull())
+    ends = F.filter(F.transform("ent", lambda e, i: F.when(e & ~at(i + 1), i)), lambda i: i.isNotNull())
+    bounds = flags.select("doc_id", "toks", F.posexplode(F.arrays_zip(begins.alias("b"), ends.alias("e"))).alias("nr", "s"))
+    entity = F.array_join(F.slice("toks", F.col("s.b") + 1, F.col("s.e") - F.col("s.b") + 1), " ")
+    return bounds.select("doc_id", (F.col("nr") + 1).cast("bigint").alias("span_no"), F.col("s.b").cast("bigint").alias("begin_pos"), entity.alias("entity"))
 
 
 @query(

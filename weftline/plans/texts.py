@@ -218,7 +218,7 @@ def map_functions(spark: SparkSession, d: str) -> DataFrame:
 )
 def token_activations(spark: SparkSession, d: str) -> DataFrame:
     """Tokens with sparse activations (absent ones are 0.00) and numbered lists."""
-    docs = table(spark, d, "documents").where(F.col("source").startswith("feature_notes")).select("doc_id", F.slice(text.tokens(F.col("text")), 1, 8).alias("t")).where("size(t) > 0")
+    docs = table(spark, d, "documents").select("doc_id", text.tokens(F.col("text")).alias("t")).where("size(t) > 0")
     act = F.transform("t", lambda s: F.struct(s.alias("s"), F.when(F.length(s) > 5, F.length(s) * 0.25).cast("double").alias("act")))
     shown = docs.withColumn("a", act).select("doc_id", seq.token_activations(F.col("a")).alias("rendered"), F.transform("a", lambda v: F.concat(v["s"], F.format_string(" (%.2f)", F.coalesce(v["act"], F.lit(0.0))))).alias("x"))
     return shown.select("doc_id", "rendered", text.numbered(F.col("x")).alias("listed"))
