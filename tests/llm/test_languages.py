@@ -82,3 +82,12 @@ def test_word_sums_add_up():
     owner, bucket = subwords.hashed_subwords(["ab"], 10)
     assert len(owner) == len(bucket) == 7  # three pairs, two triples, one four and the whole word
     assert model.probabilities(np.stack([model.word_sums(["a", "bb", "ccc"]).sum(axis=0)]))[0].argmax() == 0
+
+
+def test_assignment_in_text_without_blanks():
+    from weftline.llm.langid import clean
+
+    text = "今天天气很好我们设置x=0.7然后去公园散步"
+    assert clean(text) == text.replace("x=0.7", " " * 5)
+    assert clean("on pose prénom=José puis x = 3 ici") == "on pose             puis       ici"
+    assert clean("a b=c==d e") == "a        e"

@@ -26,12 +26,14 @@ TRAIN_DOCUMENTS, TRAIN_SENTENCES = 400, 2000
 LEAST_WORDS, LEAST_CONFIDENCE, OTHER_CONFIDENCE = 5, 0.8, 0.93
 
 _INVISIBLE = re.compile(r"[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\ufffd\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x84\x86-\x9f]")
+#: Characters of scripts without blanks between words: no part of an assignment, or it would take the whole paragraph along.
+_UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u3400-\u9fff"
 #: Markup by a sign that a text must hold for it: tags, entities, addresses and assignments.
 _MARKUP = (
     ("<", re.compile(r"<[/!]?[A-Za-z|][^<>\n]{0,200}>")),
     ("&", re.compile(r"&#?\w{1,8};")),
     ("http", re.compile(r"https?://\S+")),
-    ("=", re.compile(r"(?<!\S)[^\s=]+ ?=+ ?\S+")),
+    ("=", re.compile(rf"(?<![^\s{_UNSPACED}])[^\s={_UNSPACED}]+ ?=+ ?[^\s{_UNSPACED}]+")),
 )
 _LABEL = re.compile(r"^[\W\d_]*[^\W\d_]+:\s")
 _BREAK = re.compile(r"\n+|(?<=[.!?\u2026])[\"\u201d\u00bb\u2019')\]*_]*\s+|(?<=[\u3002\uff01\uff1f])")
