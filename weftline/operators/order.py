@@ -76,12 +76,15 @@ def interleave(left: DataFrame, right: DataFrame, key: str, n: int, m: int, *, p
 def pack_greedily(df: DataFrame, source: str, key: str, size: Column, least: int, *, block: str | None = None) -> DataFrame:
     """Consecutive rows of a source form a pack until its sizes reach ``least``: columns source, key, pack_id (from 0).
 
-    A fold over the ordered rows of one (source, ``block``); give a block column (e.g. a day or an id range) so that a
-    source never has to fit one task: packs then end at block borders too. An unfinished last pack is kept.
+    A fold over the ordered rows of a source; give a block column that never falls as ``key`` rises (e.g. an id range) so that a
+    source never has to fit one task. Packs run on over block borders: each block is first folded from every row at which its
+    first pack can end, the blocks of a source are chained by that, and each is folded again from what it is entered with.
+    An unfinished last pack is kept.
     """
     group = [source, *([block] if block else [])]
     rows = F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), size.cast("bigint").alias("n"))))
-    start = F.struct(F.lit(0).cast("bigint").alias("chars"), F.lit(0).alias("pack"), F.array().cast("array<int>").alias("ids"))
+    zero = F.lit(0).cast("bigint")
+    start = F.struct(zero.alias("chars"), F.lit(0).alias("pack"), F.array().cast("array<int>").alias("ids"))
 
     def step(acc: Column, row: Column) -> Column:
         full = acc["chars"] + row["n"] >= least
@@ -91,6 +94,36 @@ def pack_greedily(df: DataFrame, source: str, key: str, size: Column, least: int
             F.concat(acc["ids"], F.array(acc["pack"])).alias("ids"),
         )
 
-    folded = df.groupBy(*group).agg(rows.alias("_rows")).withColumn("_ids", F.aggregate("_rows", start, step)["ids"])
+    def count(acc: Column, row: Column) -> Column:
+        full = acc["chars"] + row["n"] >= least
+        return F.struct(F.when(full, zero).otherwise(acc["chars"] + row["n"]).alias("chars"), (acc["pack"] + full.cast("int")).alias("pack"))
+
+    def first_ends(acc: Column, row: Column) -> Column:
+        open_ = (acc["sum"] < least) & (row["n"] > 0)
+        end = F.struct((acc["sum"] + row["n"]).alias("sum"), (acc["at"] + 1).alias("at"))
+        return F.struct((acc["sum"] + row["n"]).alias("sum"), (acc["at"] + 1).alias("at"), F.when(open_, F.concat(acc["ends"], F.array(end))).otherwise(acc["ends"]).alias("ends"))
+
+    def chain(acc: Column, b: Column) -> Column:
+        hit = F.get(F.filter(b["ends"], lambda e: acc["chars"] + e["sum"] >= least), F.lit(0))
+        entry = F.struct(b["block"].alias("block"), acc["chars"].alias("chars"), acc["pack"].alias("pack"))
+        return F.struct(
+            F.when(hit.isNull(), acc["chars"] + b["sum"]).otherwise(hit["rest"]["chars"]).alias("chars"),
+            F.when(hit.isNull(), acc["pack"]).otherwise(acc["pack"] + 1 + hit["rest"]["pack"]).alias("pack"),
+            F.concat(acc["entries"], F.array(entry)).alias("entries"),
+        )
+
+    folded = df.groupBy(*group).agg(rows.alias("_rows"))
+    if block:
+        kind = dict(df.dtypes)[block]
+        none = F.struct(zero.alias("sum"), F.lit(0).alias("at"), F.array().cast("array<struct<sum:bigint,at:int>>").alias("ends"))
+        ends = folded.select(*group, "_rows", F.aggregate("_rows", none, first_ends).alias("_e"))
+        after = lambda e: F.aggregate(F.slice("_rows", e["at"] + 1, F.size("_rows")), F.struct(zero.alias("chars"), F.lit(0).alias("pack")), count)
+        known = F.transform("_e.ends", lambda e: F.struct(e["sum"].alias("sum"), after(e).alias("rest")))
+        blocks = ends.select(source, F.struct(F.col(block).alias("block"), F.col("_e.sum").alias("sum"), known.alias("ends")).alias("_b"))
+        begin = F.struct(zero.alias("chars"), F.lit(0).alias("pack"), F.array().cast(f"array<struct<block:{kind},chars:bigint,pack:int>>").alias("entries"))
+        chained = blocks.groupBy(F.col(source).alias("_s")).agg(F.array_sort(F.collect_list("_b")).alias("_bs")).select("_s", F.explode(F.aggregate("_bs", begin, chain)["entries"]).alias("_in"))
+        folded = folded.join(chained, F.col(source).eqNullSafe(F.col("_s")) & F.col(block).eqNullSafe(F.col("_in.block")))
+        start = F.struct(F.col("_in.chars").alias("chars"), F.col("_in.pack").alias("pack"), F.array().cast("array<int>").alias("ids"))
+    folded = folded.withColumn("_ids", F.aggregate("_rows", start, step)["ids"])
     pairs = folded.select(*group, F.explode(F.arrays_zip(F.col("_rows"), F.col("_ids"))).alias("_p"))
     return pairs.select(*group, F.col("_p._rows.k").alias(key), F.col("_p._rows.n").alias("size"), F.col("_p._ids").alias("pack_id"))

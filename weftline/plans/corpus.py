@@ -167,7 +167,7 @@ def stream_interleave(spark: SparkSession, d: str) -> DataFrame:
     return order.interleave(docs, chats, "id", 3, 1)
 
 
-#: Packs end at the borders of id blocks, so a fold never holds more than a block's rows of a source.
+#: A fold never holds more than an id block's rows of a source; packs run on over the borders and count for the block they begin in.
 PACK_CHARS, PACK_BLOCK = 3000, 1 << 12
 
 
@@ -189,7 +189,7 @@ PACK_CHARS, PACK_BLOCK = 3000, 1 << 12
 def sequence_packing(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("source is not null").withColumn("block", F.floor(F.col("doc_id") / PACK_BLOCK))
     packed = order.pack_greedily(docs, "source", "doc_id", F.coalesce(F.length("text"), F.lit(0)), PACK_CHARS, block="block")
-    return packed.groupBy("source", "block", "pack_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("chars"))
+    return packed.groupBy("source", "pack_id").agg(F.min("block").alias("block"), F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("chars")).select("source", "block", "pack_id", "n_docs", "chars")
 
 
 @query(

@@ -50,9 +50,10 @@ def file_round_trips(spark: SparkSession, d: str) -> DataFrame:
 @query("q95_stream_pack", SQL["q32_sequence_packing"])
 def stream_pack(spark: SparkSession, d: str) -> DataFrame:
     """The packing of q32 as a stateful stream over the table's files."""
-    docs = jobs.table_stream(spark, d, "documents").where("source is not null").select("source", F.floor(F.col("doc_id") / PACK_BLOCK).alias("block"), "doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("size"))
-    packed = jobs.drain(jobs.packed_stream(docs, ["source", "block"], "doc_id", "size", PACK_CHARS), "packs")
-    return packed.groupBy("source", "block", "pack_id").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("chars"))
+    docs = jobs.table_stream(spark, d, "documents").where("source is not null").select("source", "doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("bigint").alias("size"))
+    packed = jobs.drain(jobs.packed_stream(docs, ["source"], "doc_id", "size", PACK_CHARS), "packs")
+    block = F.min(F.floor(F.col("doc_id") / PACK_BLOCK)).alias("block")
+    return packed.groupBy("source", "pack_id").agg(block, F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("chars")).select("source", "block", "pack_id", "n_docs", "chars")
 
 
 @query(
