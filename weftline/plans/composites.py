@@ -30,7 +30,7 @@ def preview(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "q99_token_logprobs",
     f"""
-    with e as (select event_id, [{{token: 'Yes', lp: -({below('event_id', 'lp1', '500')} + 1) / 100.0}}, {{token: 'No', lp: -({below('event_id', 'lp2', '500')} + 1) / 100.0}}, {{token: '?', lp: -({below('event_id', 'lp3', '500')} + 1) / 100.0}}] as l from events where event_id % 7 = 0),
+    with e as (select event_id, [{{token: 'Yes', lp: -({below('event_id', 'lp1', '500')} + 1) / 100.0}}, {{token: 'No', lp: -({below('event_id', 'lp2', '500')} + 1) / 100.0}}, {{token: '?', lp: -({below('event_id', 'lp3', '500')} + 1) / 100.0}}] as l from events),
     s as (select event_id, l, list_filter(l, lambda x: x.token = 'Yes')[1].lp as yes, list_max(list_transform(l, lambda x: x.lp)) as top from e)
     select event_id, round(exp(yes), 9) as p_yes, round(exp(top), 9) as p_top, round(case when yes = top then exp(yes) else 0.0 end, 9) as p_if_first from s""",
 )
@@ -63,7 +63,7 @@ def map_merge(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "q101_date_stamps",
     """
-    select event_id, strftime(ts, '%Y%m%d') as day, strftime(ts, '%Y-%m-%d-%H-%M-%S') as stamp, 'events_' || strftime(ts, '%Y%m%d') || '_' || event_type as name from events where event_id % 5 = 0""",
+    select event_id, strftime(ts, '%Y%m%d') as day, strftime(ts, '%Y-%m-%d-%H-%M-%S') as stamp, 'events_' || strftime(ts, '%Y%m%d') || '_' || event_type as name from events""",
 )
 def date_stamps(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
@@ -91,7 +91,7 @@ def tries_best(spark: SparkSession, d: str) -> DataFrame:
     "q103_alternate_keys",
     """
     with s as (select distinct sample_id, dataset_name, context, ds_label from context_qa_samples),
-    k as (select sample_id, coalesce(nullif(trim(ds_label, ' '), ''), nullif(dataset_name, ''), '(none)') as label, trim(regexp_replace('<image> ' || coalesce(left(context, 40), '') || ' <IMAGE>', '(?i)[ ]*<image>[ ]*', ' ', 'g'), ' ') as caption from s)
+    k as (select sample_id, coalesce(nullif(trim(ds_label, ' '), ''), nullif(dataset_name, ''), '(none)') as label, trim(regexp_replace('<image> ' || coalesce(context, '') || ' <IMAGE>', '(?i)[ ]*<image>[ ]*', ' ', 'g'), ' ') as caption from s)
     select sample_id, label, caption, case lower(label) when 'entailment' then 'yes' when 'contradiction' then 'no' when 'neutral' then 'maybe' end as verdict from k""",
 )
 def alternate_keys(spark: SparkSession, d: str) -> DataFrame:
@@ -106,7 +106,7 @@ def alternate_keys(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "q104_patch_prompts",
     f"""
-    with d as (select doc_id, {sql_tokens('text')} as t, {below('doc_id', 'patch', '12')} as p from documents where starts_with(source, 'statement_sheets'))
+    with d as (select doc_id, {sql_tokens('text')} as t, {below('doc_id', 'patch', '12')} as p from documents)
     select doc_id, array_to_string(t[1 : p + 1], ' ') as source_prompt, case when len(t) > 0 and t[len(t)] like '%x' then lower(left(t[len(t)], length(t[len(t)]) - 1)) else t[len(t)] end as target from d where len(t) > p""",
 )
 def patch_prompts(spark: SparkSession, d: str) -> DataFrame:

@@ -175,16 +175,15 @@ PACK_CHARS, PACK_BLOCK = 3000, 1 << 12
     "q32_sequence_packing",
     f"""
     with recursive o as (
-      select source, doc_id // {PACK_BLOCK} as block, doc_id, cast(coalesce(length(text), 0) as bigint) as n,
-        row_number() over (partition by source, doc_id // {PACK_BLOCK} order by doc_id) as rn
+      select source, doc_id, cast(coalesce(length(text), 0) as bigint) as n, row_number() over (partition by source order by doc_id) as rn
       from documents where source is not null),
     f as (
-      select source, block, rn, n, case when n >= {PACK_CHARS} then 0 else n end as chars, 0 as pack_id, case when n >= {PACK_CHARS} then 1 else 0 end as next_pack from o where rn = 1
+      select source, doc_id, rn, n, case when n >= {PACK_CHARS} then 0 else n end as chars, 0 as pack_id, case when n >= {PACK_CHARS} then 1 else 0 end as next_pack from o where rn = 1
       union all
-      select o.source, o.block, o.rn, o.n, case when f.chars + o.n >= {PACK_CHARS} then 0 else f.chars + o.n end, f.next_pack,
+      select o.source, o.doc_id, o.rn, o.n, case when f.chars + o.n >= {PACK_CHARS} then 0 else f.chars + o.n end, f.next_pack,
         f.next_pack + case when f.chars + o.n >= {PACK_CHARS} then 1 else 0 end
-      from f join o on o.source = f.source and o.block = f.block and o.rn = f.rn + 1)
-    select source, block, pack_id, count(*) as n_docs, cast(sum(n) as bigint) as chars from f group by 1, 2, 3""",
+      from f join o on o.source = f.source and o.rn = f.rn + 1)
+    select source, min(doc_id) // {PACK_BLOCK} as block, pack_id, count(*) as n_docs, cast(sum(n) as bigint) as chars from f group by source, pack_id""",
 )
 def sequence_packing(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").where("source is not null").withColumn("block", F.floor(F.col("doc_id") / PACK_BLOCK))

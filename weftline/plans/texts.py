@@ -212,8 +212,8 @@ def map_functions(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "q93_token_activations",
     f"""
-    with d as (select doc_id, {sql_tokens('text')} as t from documents where starts_with(source, 'feature_notes')),
-    a as (select doc_id, list_transform(range(1, least(len(t), 8) + 1), lambda i: t[i] || ' (' || printf('%.2f', case when length(t[i]) > 5 then length(t[i]) * 0.25 else 0.0 end) || ')') as x from d where len(t) > 0)
+    with d as (select doc_id, {sql_tokens('text')} as t from documents),
+    a as (select doc_id, list_transform(range(1, len(t) + 1), lambda i: t[i] || ' (' || printf('%.2f', case when length(t[i]) > 5 then length(t[i]) * 0.25 else 0.0 end) || ')') as x from d where len(t) > 0)
     select doc_id, array_to_string(x, ' ') as rendered, array_to_string(list_transform(range(1, len(x) + 1), lambda i: 'Example ' || i || ': ' || x[i]), chr(10)) as listed from a""",
 )
 def token_activations(spark: SparkSession, d: str) -> DataFrame:

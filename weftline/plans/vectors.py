@@ -166,7 +166,7 @@ def hard_negatives(spark: SparkSession, d: str) -> DataFrame:
     "q58_decode_reconstruct",
     f"""
     with {_V}, f as (select vec_id as feature, v as w from e where vec_id in (select vec_id from embeddings order by vec_id limit {FEATURES})),
-    a as (select e.vec_id, f.feature, case when {_DOT.format('v', 'w')} > 0.05 then {_DOT.format('v', 'w')} else 0.0 end as act, w from e, f where e.vec_id % 50 = 0),
+    a as (select e.vec_id, f.feature, case when {_DOT.format('v', 'w')} > 0.05 then {_DOT.format('v', 'w')} else 0.0 end as act, w from e, f),
     x as (select vec_id, act, unnest(range(0, len(w))) as dim, unnest(w) as w from a)
     select vec_id, dim, round(sum(act * w) + 0.01, 6) as y from x group by 1, 2""",
 )
