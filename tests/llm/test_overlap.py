@@ -71,9 +71,10 @@ def test_pairs_equal_brute_force(spark):
     assert len(got) == len(set(got))
     assert set(got) <= want
     assert len(set(got)) >= 0.99 * len(want) > 100
-    report = overlap.overlap_report(df, pairs).collect()
+    report = overlap.overlap_report(df, *overlap.cross_split_links(df)).collect()
     assert sum(r["n_pairs"] for r in report) == len(got)
     assert all(r["n_within"] == r["n_pairs"] for r in report)
+    assert sum(r["n_samples"] for r in report) == len({e for _, e in got})
 
 
 def test_dirty_rows_and_many_copies(spark):
@@ -92,19 +93,6 @@ def test_long_and_repeated_words(spark):
     assert sorted((r["train_id"], r["eval_id"]) for r in got) == [(1, 2), (3, 4)]
 
 
-def test_far_fingerprints_are_rare():
-    random.seed(1)
-    distances = []
-    for _ in range(300):
-        a = ["w%d" % random.randrange(10_000) for _ in range(50)]
-        b = edited(a, 8)
-        hashes = [overlap._hashes(x) for x in (a, b)]
-        prints = [overlap.fingerprints(h, np.array([0])) for h in hashes]
-        distances.append(int(prints[0][0] ^ prints[1][0]).bit_count())
-    assert max(distances) <= overlap.RADIUS
-    assert np.mean(distances) == pytest.approx(12, abs=4)
-
-
 def pairs_and_truth(spark, texts):
     """Texts alternate between the splits."""
     rows = [(i, "d", ("train", "test")[i % 2], " ".join(ws)) for i, ws in enumerate(texts)]
@@ -142,12 +130,48 @@ def test_only_common_words_in_common(spark):
     assert got == want
 
 
-def test_parities_bound_what_is_not_shared():
+def test_fingerprints_bound_what_is_not_shared():
     random.seed(9)
     for _ in range(200):
         a = [random.randrange(300) for _ in range(random.randrange(8, 120))]
         b = [w if random.random() < 0.8 else random.randrange(300) for w in a]
         sizes = np.array([len(a), len(b)])
         owner, _, code = overlap.occurrences(np.array(a + b, "<u4"), sizes)
-        bits = np.unpackbits(overlap.parities(owner, code, 2).view(np.uint8), axis=1)
-        assert (bits[0] != bits[1]).sum() <= len(a) + len(b) - 2 * slow_lcs(a, b)
+        for size in (overlap.FINGERPRINT, overlap.WIDE_FINGERPRINT):
+            bits = np.unpackbits(overlap.fingerprints(owner, code, 2, size).view(np.uint8), axis=1)
+            assert (bits[0] != bits[1]).sum() <= len(a) + len(b) - 2 * slow_lcs(a, b)
+
+
+def test_four_hundred_pairs_alike_in_common_words_only(spark):
+    """45 words, nine rare ones differ, 36 common ones are equal and in order: similarity exactly 0.8."""
+    random.seed(11)
+    common = ["c%d" % i for i in range(200)]
+    texts = []
+    for g in range(400):
+        base = random.sample(common, 36) + ["r%dx%d" % (g, i) for i in range(9)]
+        random.shuffle(base)
+        texts += [base, ["s%dx%s" % (g, w) if w[0] == "r" else w for w in base]]
+    rows = [(i, "d", ("train", "test")[i % 2], " ".join(ws)) for i, ws in enumerate(texts)]
+    got = {(r["train_id"], r["eval_id"]) for r in overlap.cross_split_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(i, i + 1) for i in range(0, 800, 2)}
+
+
+def test_salts_and_shuffled_ids_change_nothing(spark, monkeypatch):
+    random.seed(13)
+    vocabulary = ["w%d" % i for i in range(40)]
+    rows = []
+    for g in range(24):
+        base = [random.choice(vocabulary) for _ in range(random.choice([12, 40, 140]))]
+        rows += [(4 * g + k, "d", ("train", "test", "dev", "Train")[k], " ".join(edited(base, len(base) // 25))) for k in range(4)]
+    df = spark.createDataFrame(rows + rows[:9], SCHEMA)
+    read = lambda: sorted(map(tuple, overlap.cross_split_pairs(df).collect()))
+    before = read()
+    assert set(before) == {(a, b) for a, b in before_brute(rows)}
+    monkeypatch.setattr(overlap, "SALT_ROWS", 5)
+    monkeypatch.setattr(overlap, "BROADCAST_IDS", 0)
+    assert read() == before
+
+
+def before_brute(rows):
+    renamed = [(i, d, {"dev": "validation", "Train": "train"}.get(s, s), t) for i, d, s, t in rows]
+    return brute(renamed)

@@ -9,7 +9,7 @@ import pandas as pd
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.storage import materialize
@@ -20,18 +20,18 @@ SIMILARITY = 0.8
 #: Texts with fewer words are no cases.
 LEAST_WORDS = 8
 
-#: Hamming distance between the 64-bit fingerprints that a pair rarely exceeds; no pair is dropped by it.
-#: Four fifths of the words in common put the expected distance at 13 with a deviation of 3.2.
-RADIUS = 26
-
-#: 64-bit words of parities that a text carries into the join.
-PARITIES = 3
+#: 64-bit words of the bit fingerprint that a text carries into the join, and of the second one that texts of more than
+#: LONG_WORDS words carry, on which the first is too short to tell them apart.
+FINGERPRINT, WIDE_FINGERPRINT, LONG_WORDS = 2, 16, 128
 
 #: Words are ordered by the frequency of their hash bucket, of 2^_BUCKET_BITS.
 _BUCKET_BITS = 16
 
-#: The ids of up to this many candidate pairs (16 bytes each) are broadcast to pick out their texts; above it, they are shuffled.
-BROADCAST_PAIRS = 500_000
+#: Rows of a code on one side are spread over one task for each so many texts that have its word, at most MOST_SALTS.
+SALT_ROWS, MOST_SALTS = 100_000, 64
+
+#: The ids of up to this many texts (16 bytes each) are broadcast to pick out their rows; above it, they are shuffled.
+BROADCAST_IDS = 1_000_000
 
 _DROPPED = regex.compile(r"[\p{M}\p{Cf}\x00-\x08\x0e-\x1f\x7f]+")
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -65,15 +65,7 @@ def _hashes(flat: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in unique), np.uint64, len(unique))[codes]
 
 
-def fingerprints(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """64-bit similarity hash of each text: bit by bit the majority over the hashes of its words."""
-    bits = np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    sizes = np.diff(np.append(starts, len(h)))
-    return np.packbits(ones * 2 > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
-
-
-def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for at in range(0, whole.num_rows, 4000):
             batch = whole.slice(at, 4000)
@@ -127,49 +119,67 @@ def occurrences(flat: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.nda
     return owner, w, code ^ code >> np.uint64(32)
 
 
-def rarest(owner: np.ndarray, w: np.ndarray, code: np.ndarray, sizes: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """(text index, code) of the rarest occurrences of each text, so many that two similar texts share one of them for certain.
+def rarest(owner: np.ndarray, w: np.ndarray, code: np.ndarray, sizes: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text index, code, texts that have its word) of the rarest occurrences of each text, so many that two similar texts share one of them for certain.
 
     A text of n words that has c in common with another lacks n - c there. In one order of all codes, the first n - c + 1 of both
     texts share a code: else all common ones would come after the earlier of the two ends, where fewer than c are left.
     """
-    order = np.lexsort((code, counts[w & np.uint64(len(counts) - 1)], owner))
+    often = counts[w & np.uint64(len(counts) - 1)]
+    order = np.lexsort((code, often, owner))
     place = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     kept = place <= (sizes - least_common(sizes, similarity))[owner]
-    return owner[kept], code[order][kept].view(np.int64)
+    return owner[kept], code[order][kept].view(np.int64), often[order][kept]
+
 
+def fingerprints(owner: np.ndarray, code: np.ndarray, texts: int, size: int = FINGERPRINT) -> np.ndarray:
+    """A fingerprint of ``size`` 64-bit words for each text: whether an odd number of its codes falls on the bit.
 
-def parities(owner: np.ndarray, code: np.ndarray, texts: int) -> np.ndarray:
-    """PARITIES words of bits for each text: whether an odd number of its codes falls on the bit. Two texts differ in at most as many bits as only one of them has codes."""
-    bits = 64 * PARITIES
+    Similar texts have near fingerprints: they differ in at most as many bits as codes are in only one of the texts.
+    """
+    bits = 64 * size
     odd = np.bincount(owner * bits + (code % np.uint64(bits)).astype(np.int64), minlength=texts * bits).reshape(texts, bits) & 1
     return np.packbits(odd.astype(bool), axis=1, bitorder="little").view("<i8")
 
 
-def fingerprint_table(df: DataFrame, *, key: str, text: str, split: str) -> DataFrame:
+def radius(na: Column, nb: Column, similarity: float) -> Column:
+    """Bits in which the fingerprints of two texts of so many words may differ at most if the texts are similar."""
+    return na + nb - 2 * F.lit(similarity - 1e-9) * F.greatest(na, nb)
+
+
+def word_table(df: DataFrame, *, key: str, text: str, split: str) -> DataFrame:
     """Written once: id, train, text key (128 bits) and hashes of words, of texts of LEAST_WORDS words and more with a known split."""
     side = F.lower(F.regexp_replace(F.col(split), r"[^\p{L}]+", ""))
     train = F.when(side.isin("train", "training", "trn"), True).when(side.isin("validation", "valid", "val", "dev", "test", "testing", "eval", "evaluation"), False)
     picked = df.select(F.col(key).cast("bigint").alias("id"), train.alias("train"), F.col(text).cast("string").alias("text")).where("train is not null and id is not null and text is not null")
-    return materialize(picked.mapInArrow(_fingerprint_rows, "id bigint, train boolean, k1 bigint, k2 bigint, words binary"), "prints")
+    return materialize(picked.mapInArrow(_word_rows, "id bigint, train boolean, k1 bigint, k2 bigint, words binary"), "prints")
+
+
+def _few(ids: DataFrame) -> DataFrame:
+    """A table of ids that was written before, broadcast if it is small."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
 
 
-def cross_split_pairs(df: DataFrame, *, key: str = "sample_id", text: str = "context", split: str = "split", similarity: float = SIMILARITY) -> DataFrame:
-    """All pairs (train_id, eval_id) of a record in train and one in validation or test with equal or nearly equal texts.
+def cross_split_links(df: DataFrame, *, key: str = "sample_id", text: str = "context", split: str = "split", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """Overlaps between training and evaluation records as links between classes of equal texts.
+
+    Returns (links, members). ``links``: a, b, the classes of a training and an evaluation text that are equal (a = b) or nearly equal,
+    each link once. ``members``: id, train, rep, the class of each record. A class is named by its least id.
 
     Nearly equal: the longest common subsequence of words has at least ``similarity`` of the words of the longer text.
 
-    Method: an exact prefix filter. (1) One scan gives each text its
-    word hashes, written to the shared folder. (2) Equal texts become one class, by partial
-    aggregation, so a text that a third of the rows share is one row from here on. (3) Each class emits its
-    rarest words, one more than it may lack in a similar text. Classes of the two sides that agree on one
-    are candidates if their lengths allow the similarity and the parities of their words differ in no more bits
-    than the words that such a pair may not share; both bounds are proven, so no pair is lost. (4) Candidates are verified on whole texts. (5) Classes are expanded to their records.
+    Method: bit fingerprints within a Hamming radius, joined by code blocks across the splits, verified on whole texts.
+    (1) One scan gives each text its word hashes, written to the shared folder. (2) Equal texts become one class by
+    partial aggregation, so a text that a third of the rows share is one row from here on. (3) A text's code blocks are its
+    rarest words, one more than it may lack in a similar text, so two similar texts agree on one for certain (an exact prefix
+    filter; blocks of the fingerprint's own bits lose pairs). Rows of a hot code are spread by a salt. (4) Classes of the two sides that
+    agree on a block are candidates if their lengths allow the similarity and their fingerprints lie within the radius, which
+    is as wide as the words that such a pair may not share: no pair is lost. (5) Candidates are verified on whole texts.
 
     Defined cases: records without a known split, without text or with fewer than LEAST_WORDS words
-    are in no pair; a record delivered several times counts once; further columns are ignored.
+    are in no link; a record delivered several times counts once; further columns are ignored.
     """
-    prints = fingerprint_table(df, key=key, text=text, split=split)
+    prints = word_table(df, key=key, text=text, split=split)
     counted = {r["bucket"]: r["n"] for r in prints.select("words").mapInArrow(_counts, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()}
     counts = np.zeros(1 << _BUCKET_BITS, np.int64)  # at most 2^_BUCKET_BITS counters come to the driver
     for bucket, n in counted.items():
@@ -183,31 +193,56 @@ def cross_split_pairs(df: DataFrame, *, key: str = "sample_id", text: str = "con
                 continue
             sizes = np.fromiter(map(len, lists), np.int64, len(lists))
             owner, w, code = occurrences(np.concatenate(lists), sizes)
-            parity = parities(owner, code, len(lists))
-            text, code = rarest(owner, w, code, sizes, counts, similarity)
-            bits = [pa.array(parity[text, k]) for k in range(PARITIES)]
-            yield pa.RecordBatch.from_arrays([pa.array(code), batch.column(0).take(pa.array(text)), pa.array(sizes[text].astype(np.int32)), *bits], ["code", "rep", "n", *(f"p{k}" for k in range(PARITIES))])
-
-    classes = prints.groupBy("k1", "k2").agg(
-        F.min("id").alias("rep"), F.max("train").alias("in_train"), F.max(~F.col("train")).alias("in_eval"),
-        F.first("words").alias("words"),
-    )
-    rows = "code bigint, rep bigint, n int, " + ", ".join(f"p{k} bigint" for k in range(PARITIES))
+            bits = fingerprints(owner, code, len(lists))
+            wide = np.flatnonzero(sizes > LONG_WORDS)
+            long = [None] * len(lists)
+            if len(wide):
+                rows = np.isin(owner, wide)
+                new = np.searchsorted(wide, owner[rows])
+                for i, x in zip(wide.tolist(), fingerprints(new, code[rows], len(wide), WIDE_FINGERPRINT).tolist(), strict=True):
+                    long[i] = x
+            text, code, often = rarest(owner, w, code, sizes, counts, similarity)
+            salts = np.minimum(1 + often // SALT_ROWS, MOST_SALTS)
+            if batch.column(2)[0].as_py():  # a training text: one salt of its own
+                salt = np.array(batch.column(0).to_pylist(), np.int64)[text] % salts
+            else:  # an evaluation text meets all salts
+                at = np.repeat(np.arange(len(code)), salts)
+                salt = np.arange(len(at)) - np.repeat(np.cumsum(salts) - salts, salts)
+                text, code = text[at], code[at]
+            code = code + salt * np.int64(0x1000_0001)
+            pick = pa.array(text)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(code), batch.column(0).take(pick), pa.array(sizes[text].astype(np.int32)), *[pa.array(bits[text, k]) for k in range(FINGERPRINT)], pa.array(long, pa.list_(pa.int64())).take(pick)],
+                names,
+            )
+
+    # classes with more than one row are few or small beside the texts: the rows of the others go on from the scan as they are
+    ids = prints.groupBy("k1", "k2", "id").agg(F.max("train").alias("t"), F.max(~F.col("train")).alias("e"), F.count(F.lit(1)).alias("n"))
+    classes = ids.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("t").alias("in_train"), F.max("e").alias("in_eval"), F.sum("n").alias("n"))
+    repeated = materialize(ids.select("k1", "k2", "id").join(classes.where("n > 1"), ["k1", "k2"]).select("id", "rep", "in_train", "in_eval"), "repeated")
+    single = prints.join(_few(repeated.select("id").distinct()), "id", "left_anti").select(F.col("id").alias("rep"), "words", F.col("train").alias("in_train"), (~F.col("train")).alias("in_eval"))
+    several = repeated.where("id = rep").select("rep", "in_train", "in_eval").distinct()
+    first = prints.join(_few(several.select(F.col("rep").alias("id"))), "id", "left_semi").groupBy(F.col("id").alias("rep")).agg(F.first("words").alias("words"))
+    texts = single.unionByName(first.join(several, "rep").select("rep", "words", "in_train", "in_eval"))
+
+    names = ["code", "rep", "n", *[f"p{k}" for k in range(FINGERPRINT)], "wide"]
+    rows = "code bigint, rep bigint, n int, " + "".join(f"p{k} bigint, " for k in range(FINGERPRINT)) + "wide array<bigint>"
     a, b = (
-        classes.where(f"in_{side}").select("rep", "words").mapInArrow(emit, rows).toDF("code", x, f"n{x}", *(f"p{x}{k}" for k in range(PARITIES)))
-        for side, x in (("train", "a"), ("eval", "b"))
+        texts.where(f"in_{side}").select("rep", "words", F.lit(side == "train").alias("train")).mapInArrow(emit, rows).toDF(*("code" if c == "code" else c + x for c in names))
+        for side, x in (("train", "_a"), ("eval", "_b"))
     )
-    differing = sum((F.bit_count(F.col(f"pa{k}").bitwiseXOR(F.col(f"pb{k}"))) for k in range(PARITIES)), F.lit(0))
-    longer = F.lit(similarity - 1e-9) * F.greatest("na", "nb")
+    differing = sum((F.bit_count(F.col(f"p{k}_a").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(FINGERPRINT)), F.lit(0))
+    wide = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    na, nb = F.col("n_a"), F.col("n_b")
     near = (
-        a.join(b, "code").where("a <> b").where(F.least("na", "nb") >= longer)
-        .where(differing <= F.col("na") + F.col("nb") - 2 * longer)
-        .select("a", "b").distinct()
+        a.join(b, "code").where("rep_a <> rep_b").where(F.least(na, nb) >= F.lit(similarity - 1e-9) * F.greatest(na, nb))
+        .where(differing <= radius(na, nb, similarity))
+        .where(F.coalesce(wide <= radius(na, nb, similarity), F.lit(True)))
+        .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
     )
     candidates = materialize(near, "candidates")
-    ids = candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    needed = prints.join(F.broadcast(ids) if candidates.count() <= BROADCAST_PAIRS else ids, "id", "left_semi")
-    texts = needed.groupBy("id").agg(F.first("words").alias("words"))
+    needed = prints.join(_few(materialize(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")), "id", "left_semi")
+    held = needed.groupBy("id").agg(F.first("words").alias("words"))
 
     @F.pandas_udf("double")
     def share(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -217,25 +252,35 @@ def cross_split_pairs(df: DataFrame, *, key: str = "sample_id", text: str = "con
             out.append(common_in_order(p, q) / max(len(p), len(q)))
         return pd.Series(out, dtype="float64")
 
-    both = candidates.join(texts.toDF("a", "wa"), "a").join(texts.toDF("b", "wb"), "b")
+    both = candidates.join(held.toDF("a", "wa"), "a").join(held.toDF("b", "wb"), "b")
     verified = both.where(share("wa", "wb") >= similarity - 1e-9).select("a", "b")
+    equal = repeated.where("in_train and in_eval").select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct()
+    members = prints.select("id", "train").distinct().join(repeated.select("id", "rep"), "id", "left").select("id", "train", F.coalesce("rep", "id").alias("rep"))
+    return verified.unionByName(equal), members
 
-    reps = classes.select("k1", "k2", "rep", "in_train", "in_eval")
-    shared = reps.where("in_train and in_eval").select(F.col("rep").alias("a"), F.col("rep").alias("b"))
-    members = prints.select("id", "train", "k1", "k2").distinct().join(reps.select("k1", "k2", "rep"), ["k1", "k2"])
+
+def cross_split_pairs(df: DataFrame, **names) -> DataFrame:
+    """All pairs (train_id, eval_id) of a record in train and one in validation or test with equal or nearly equal texts: the links of :func:`cross_split_links`, whose arguments it takes, between their members."""
+    links, members = cross_split_links(df, **names)
     trained = members.where("train").select(F.col("rep").alias("a"), F.col("id").alias("train_id"))
     evaluated = members.where("not train").select(F.col("rep").alias("b"), F.col("id").alias("eval_id"))
-    return verified.unionByName(shared).join(trained, "a").join(evaluated, "b").select("train_id", "eval_id")
-
-
-def overlap_report(df: DataFrame, pairs: DataFrame, *, key: str = "sample_id", split: str = "split", source: str = "dataset_name") -> DataFrame:
-    """Counts by split and source of the evaluation records: split, source, n_pairs, n_samples, n_within (pairs within one source)."""
-    about = df.select(F.col(key).alias("id"), F.lower(F.trim(F.col(split))).alias("split"), F.col(source).alias("source")).distinct()
-    train = about.select(F.col("id").alias("train_id"), F.col("source").alias("train_source"))
-    return (
-        pairs.join(about.withColumnRenamed("id", "eval_id"), "eval_id").join(train, "train_id")
-        .groupBy("split", "source").agg(
-            F.count(F.lit(1)).alias("n_pairs"), F.count_distinct("eval_id").alias("n_samples"),
-            F.count_if(F.col("source").eqNullSafe(F.col("train_source"))).alias("n_within"),
-        )
-    )
+    return links.join(trained, "a").join(evaluated, "b").select("train_id", "eval_id")
+
+
+def overlap_report(df: DataFrame, links: DataFrame, members: DataFrame, *, key: str = "sample_id", split: str = "split", source: str = "dataset_name") -> DataFrame:
+    """Counts by split and source of the evaluation records: split, source, n_pairs, n_samples, n_within (pairs within one source).
+
+    Links are counted times the sizes of their classes, so pairs of records never become rows. Splits are in lower case without outer blanks.
+    A record delivered under two splits or sources counts under each.
+    """
+    about = df.select(F.col(key).cast("bigint").alias("id"), F.lower(F.trim(F.col(split))).alias("split"), F.col(source).alias("source")).distinct()
+    sized = members.join(about, "id")
+    trained = sized.where("train").groupBy("rep", "source").agg(F.count_distinct("id").alias("n"))
+    evaluated = sized.where("not train").groupBy("rep", "split", "source").agg(F.count_distinct("id").alias("n"))
+    by_source = links.join(trained.withColumnRenamed("rep", "a"), "a").groupBy("b", F.col("source").alias("from")).agg(F.sum("n").alias("partners"))
+    joined = evaluated.withColumnRenamed("rep", "b").join(by_source, "b").groupBy("b", "split", "source").agg(
+        F.max("n").alias("n"), F.sum("partners").alias("partners"), F.sum(F.when(F.col("source").eqNullSafe(F.col("from")), F.col("partners")).otherwise(0)).alias("within")
+    )
+    return joined.groupBy("split", "source").agg(
+        F.sum(F.col("n") * F.col("partners")).alias("n_pairs"), F.sum("n").alias("n_samples"), F.sum(F.col("n") * F.col("within")).alias("n_within")
+    )

@@ -85,10 +85,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, d: str) -> DataFrame:
-    from weftline.llm.overlap import cross_split_pairs, overlap_report
+    from weftline.llm.overlap import cross_split_links, overlap_report
 
     samples = table(spark, d, "context_qa_samples")
-    return overlap_report(samples, cross_split_pairs(samples))
+    return overlap_report(samples, *cross_split_links(samples))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
