@@ -107,12 +107,13 @@ def test_weights_are_renamed_and_checked(spark, tmp_path):
     assert [r["i"] for r in bad.collect()] == [1]
 
 
-def test_configs_come_back(tmp_path):
+def test_configs_come_back(spark, tmp_path):
     from weftline.sources import config
 
     p = str(tmp_path / "c.yaml")
-    config.save({"a": 1, "b": ["x"]}, p)
-    assert config.load(p) == {"a": 1, "b": ["x"]}
+    config.save(spark, {"a": 1}, p)
+    config.save(spark, {"a": 1, "b": ["x"]}, p)
+    assert config.load(spark, p) == {"a": 1, "b": ["x"]}
     assert config.problems({"a": 1, "z": 2}, {"a", "b"}, {"a", "b"}) == ["missing: b", "unknown: z"]
 
 

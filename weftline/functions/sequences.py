@@ -52,7 +52,8 @@ def shifted(positions: Column, by: Column) -> Column:
 
 
 def unpad(ids: Column, mask: Column) -> Column:
-    return F.filter(ids, lambda x, i: F.get(mask, i) == 1)
+    kept = F.filter(F.zip_with(ids, mask, lambda x, m: F.struct(x.alias("x"), m.alias("m"))), lambda p: p["m"] == 1)  # inside a lambda, the mask would be made anew for each id
+    return F.transform(kept, lambda p: p["x"])
 
 
 def marker_positions(array: Column, marker: Column | str, first: int) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions import stats
+from weftline.ranks import medians
 
 
 def score_table(df: DataFrame, group: Sequence[str], hit: Column, digits: int = 6) -> DataFrame:
@@ -44,9 +45,14 @@ def best_of(df: DataFrame, group: Sequence[str], score: str, item: str) -> DataF
 
 
 def aggregate_as(df: DataFrame, group: Sequence[str], value: str, digits: int = 6) -> DataFrame:
-    """max, min, median, mean and population deviation side by side."""
+    """max, min, median, mean and population deviation side by side. Medians come from ranges of values, so no group is held or sorted in one task."""
     r = lambda c, n: F.round(c, digits).alias(n)
-    return df.groupBy(*group).agg(r(F.max(value), "max"), r(F.min(value), "min"), r(F.percentile(value, F.lit(0.5)), "median"), r(F.avg(value), "mean"), r(F.stddev_pop(value), "std_pop"), F.count(value).alias("n"))
+    spread = df.groupBy(*group).agg(r(F.max(value), "max"), r(F.min(value), "min"), r(F.avg(value), "mean"), r(F.stddev_pop(value), "std_pop"), F.count(value).alias("n"))
+    middle = medians(df, value, group)
+    names = [F.col(g).alias(f"_m{i}") for i, g in enumerate(group)]
+    same = [F.col(g).eqNullSafe(F.col(f"_m{i}")) for i, g in enumerate(group)]
+    joined = spread.join(middle.select(*names, "median"), same, "left")
+    return joined.select(*group, "max", "min", r(F.col("median"), "median"), "mean", "std_pop", "n")
 
 
 def merged_counts(frames: Sequence[DataFrame], group: Sequence[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.ranks import value_rank
@@ -72,5 +72,6 @@ def distinct_by(df: DataFrame, by: str, order: str) -> DataFrame:
 
 
 def names_once(df: DataFrame, name: str) -> DataFrame:
-    """Rows whose name no other row has; names are counted before any other filter."""
-    return df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(name))).where("_n = 1").drop("_n")
+    """Rows whose name no other row has; names are counted before any other filter. Partial counts leave every partition, so a frequent name is never in one task."""
+    counted = df.groupBy(name).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*[c for c in df.columns if c != name])).alias("_r"))
+    return counted.where("_n = 1").select(name, "_r.*").select(*df.columns)

@@ -39,10 +39,13 @@ def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int, *, key: str = "v
                 sims = np.frombuffer(qm).reshape(len(q), -1) @ np.frombuffer(cm).reshape(len(c), -1).T
                 sims[q[:, None] == c[None, :]] = -np.inf
                 n = min(k, len(c))
-                best = np.lexsort((np.broadcast_to(c, sims.shape), -sims), axis=1)[:, :n]
-                values = np.take_along_axis(sims, best, axis=1).ravel()
-                keep = np.isfinite(values)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q, n)[keep]), pa.array(c[best.ravel()][keep]), pa.array(values[keep])], ["q", "c", "s"])
+                least = np.partition(sims, len(c) - n, axis=1)[:, len(c) - n]  # the n-th greatest of each row, without sorting the rest
+                held = (sims >= least[:, None]) & np.isfinite(sims)
+                for i in np.flatnonzero(held.sum(axis=1) > n):  # ties at the border: the least ids stay
+                    tied = np.flatnonzero(held[i])
+                    held[i, tied[np.lexsort((c[tied], -sims[i, tied]))[n:]]] = False
+                row, column = np.nonzero(held)
+                yield pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(c[column]), pa.array(sims[row, column])], ["q", "c", "s"])
 
     def packed(df: DataFrame, a: str, b: str) -> DataFrame:
         rows = df.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(key).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v"))

@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.plans.corpus import PACK_BLOCK, PACK_CHARS
 from weftline.plans.registry import SQL, query
 from weftline.sources import readers, writers
-from weftline.storage import shared_folder, table
+from weftline.storage import step_folder, table
 from weftline.streaming import jobs
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    return step_folder(spark, name)
 
 
 @query("q94_file_round_trips", "select f as format, n_nationkey, n_name from nation, (select unnest(['json_array', 'json_lines', 'csv', 'tsv_list', 'text', 'wrapped', 'map', 'cached']) as f)")
@@ -62,7 +60,34 @@ def stream_pack(spark: SparkSession, d: str) -> DataFrame:
 )
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Tumbling daily windows with a watermark over the event stream."""
-    counted = jobs.drain(jobs.window_counts(jobs.table_stream(spark, d, "events"), "ts", "event_type", "value", late="60 days"), "windows", mode="complete")
+    counted = jobs.drain(jobs.window_counts(jobs.table_stream(spark, d, "events"), "ts", "event_type", "value", late="60 days"), "windows", mode="update", keys=["start", "event_type"])
+    return counted.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query(
+    "q109_stream_sessions",
+    """
+    with e as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hours then 0 else 1 end as first from events where user_id is not null),
+    s as (select *, sum(first) over (partition by user_id order by ts rows unbounded preceding) as nr from e),
+    g as (select user_id, min(ts) as start, max(ts) + interval 6 hours as stop, count(*) as n from s group by user_id, nr)
+    select user_id, strftime(start, '%Y-%m-%d %H:%M:%S') as start, strftime(stop, '%Y-%m-%d %H:%M:%S') as stop, n from g where stop <= (select max(ts) - interval 2 days from events)""",
+)
+def stream_sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions of each user with gaps under six hours, written once the watermark, two days behind the latest event, has passed them."""
+    sessions = jobs.drain(jobs.session_counts(jobs.table_stream(spark, d, "events").where("user_id is not null"), "ts", "user_id", gap="6 hours", late="2 days"), "sessions")
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    return sessions.select("user_id", shown("start").alias("start"), shown("end").alias("stop"), "n")
+
+
+@query(
+    "q110_sliding_windows",
+    """
+    with w as (select unnest([0, 1]) as back), e as (select date_trunc('day', ts) - to_days(cast(back as int)) as day, event_type, value from events, w)
+    select strftime(day, '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 4) as total from e group by 1, 2""",
+)
+def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Windows of two days that begin every day, over the event stream."""
+    counted = jobs.drain(jobs.window_counts(jobs.table_stream(spark, d, "events"), "ts", "event_type", "value", width="2 days", every="1 day", late="60 days"), "sliding", mode="update", keys=["start", "event_type"])
     return counted.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 

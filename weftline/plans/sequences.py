@@ -137,11 +137,15 @@ def assistant_mask(spark: SparkSession, d: str) -> DataFrame:
     select point_id, batch, padded, padded - len(ids) as n_pad, n_masked, array_to_string(list_transform(pos, lambda x: x + padded - len(ids)), ',') as shifted from m""",
 )
 def loss_padding(spark: SparkSession, d: str) -> DataFrame:
-    """Left padding to the longest row of each batch of 16, with positions moved along; padding and unpadding are inverse."""
-    points = table(spark, d, "training_datapoints").where("input_ids is not null").dropDuplicates(["point_id"]).select("point_id", F.floor(F.col("point_id") / 16).alias("batch"), "input_ids", "labels", "positions")
-    padded = points.withColumn("padded", F.max(F.size("input_ids")).over(Window.partitionBy("batch")))
+    """Left padding to the longest row of each batch of 16, with positions moved along; padding and unpadding are inverse.
+
+    Rows are exchanged once, by batch: duplicates of a record and the longest row of a batch are found where the batch lies.
+    """
+    points = table(spark, d, "training_datapoints").where("input_ids is not null").select("point_id", F.floor(F.col("point_id") / 16).alias("batch"), "input_ids", "labels", "positions")
+    once = points.repartition("batch").dropDuplicates(["batch", "point_id"])
+    padded = once.withColumn("padded", F.max(F.size("input_ids")).over(Window.partitionBy("batch")))
     ids, mask = seq.left_pad(F.col("input_ids"), F.col("padded")), seq.pad_mask(F.col("input_ids"), F.col("padded"))
-    checked = padded.withColumn("_back", seq.unpad(ids, mask)).where("_back = input_ids")
+    checked = padded.where(seq.unpad(ids, mask) == F.col("input_ids"))
     return checked.select(
         "point_id", "batch", F.col("padded").cast("bigint").alias("padded"), (F.col("padded") - F.size("input_ids")).cast("bigint").alias("n_pad"),
         F.size(F.filter("labels", lambda x: x == -100)).cast("bigint").alias("n_masked"),

@@ -163,9 +163,12 @@ def conj_disj(spark: SparkSession, d: str) -> DataFrame:
     draws = quotas.withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).crossJoin(F.broadcast(n))
     k = F.concat_ws("#", "a", "b", "draw")
     placed = draws.withColumn("x", md5_below(k, "conj.1", F.col("c")) + 1).withColumn("y", md5_below(k, "conj.2", F.col("c")) + 1)
-    u = ranked.select(F.col("label").alias("a"), F.col("ord").alias("x"), decapitalise(F.col("statement")).alias("s1"))
-    v = ranked.select(F.col("label").alias("b"), F.col("ord").alias("y"), decapitalise(F.col("statement")).alias("s2"))
-    return placed.join(u, ["a", "x"]).join(v, ["b", "y"]).select(
+    sides = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("a").alias("label"), F.col("x").alias("ord")), F.struct(F.lit(2).alias("side"), F.col("b").alias("label"), F.col("y").alias("ord"))))
+    asked = placed.select("a", "b", "draw", sides.alias("s")).select("a", "b", "draw", "s.side", "s.label", "s.ord")  # two rows a draw, whatever the tables
+    found = ranked.join(F.broadcast(asked), ["label", "ord"]).withColumn("statement", decapitalise(F.col("statement")))
+    part = lambda side: F.max(F.when(F.col("side") == side, F.col("statement")))
+    pairs = found.groupBy("a", "b", "draw").agg(part(1).alias("s1"), part(2).alias("s2")).where("s1 is not null and s2 is not null")
+    return pairs.select(
         F.col("a").alias("label1"), F.col("b").alias("label2"), F.col("draw"),
         fill("It is the case both that {} and that {}.", F.col("s1"), F.col("s2")).alias("conj"),
         fill("It is the case either that {} or that {}.", F.col("s1"), F.col("s2")).alias("disj"),

@@ -48,7 +48,7 @@ def cosine_topk(spark: SparkSession, d: str) -> DataFrame:
 def norms_outliers(spark: SparkSession, d: str) -> DataFrame:
     """Norms against ten times the lower median, the first token aside, and a unit-norm test with tolerance."""
     n = embeddings(spark, d).select("vec_id", F.round(vectors.norm(F.col("v")), 6).alias("norm"))
-    med = value_at_rank(n, "norm", lower_median(), name="med").select("med")
+    med = value_at_rank(n, "norm", lower_median(), name="med", continuous=True).select("med")
     return n.crossJoin(F.broadcast(med)).select("vec_id", "norm", ((F.col("norm") < 10 * F.col("med")) & (F.col("vec_id") != 0)).alias("kept"), (F.abs(F.col("norm") - 1) <= 0.05).alias("is_unit"))
 
 

@@ -4,20 +4,34 @@ from __future__ import annotations
 
 import json
 
+from pyspark.sql import SparkSession
+
 try:
     import yaml
 except ImportError:
     yaml = None
 
 
-def save(config: dict, path: str) -> None:
-    with open(path, "w") as f:
-        f.write(yaml.safe_dump(config, sort_keys=False) if yaml else json.dumps(config, indent=2))
+def _file(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def save(spark: SparkSession, config: dict, path: str) -> None:
+    """Write a config to any file system that the cluster knows; a file that is there is replaced."""
+    target, files = _file(spark, path)
+    out = files.create(target, True)
+    try:
+        out.write(bytearray((yaml.safe_dump(config, sort_keys=False) if yaml else json.dumps(config, indent=2)).encode()))
+    finally:
+        out.close()
 
 
-def load(path: str) -> dict:
-    with open(path) as f:
-        text = f.read()
+def load(spark: SparkSession, path: str) -> dict:
+    target, files = _file(spark, path)
+    if not files.exists(target):
+        raise FileNotFoundError(path)
+    text = "".join(r[0] for r in spark.read.text(path, wholetext=True).collect())  # one small file
     return yaml.safe_load(text) if yaml else json.loads(text)
 
 

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from weftline.storage import shared_folder
+from weftline.storage import step_folder
 
 
 def table_stream(spark: SparkSession, folder: str, name: str, *, files_per_trigger: int | None = None) -> DataFrame:
@@ -25,18 +24,25 @@ def table_stream(spark: SparkSession, folder: str, name: str, *, files_per_trigg
     return reader.parquet(path) if is_folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
 
 
-def drain(stream: DataFrame, name: str, *, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and read what it wrote. Output and progress lie in the shared folder."""
+def drain(stream: DataFrame, name: str, *, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
+    """Run a stream over what is there now and read what it wrote. Output and progress lie in the shared folder.
+
+    In ``update`` mode each batch writes the rows that it changed, by ``keys``; the last state of each is read back, and a batch
+    that is tried again replaces its own rows.
+    """
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    base = step_folder(spark, name)
     if mode == "append":
         stream.writeStream.outputMode("append").option("checkpointLocation", base + "/progress").trigger(availableNow=True).format("parquet").start(base + "/rows").awaitTermination()
     else:
 
         def put(batch: DataFrame, epoch: int) -> None:
-            batch.write.mode("overwrite").parquet(base + "/rows")
+            batch.write.mode("overwrite").parquet(f"{base}/rows/epoch={epoch}")
 
         stream.writeStream.outputMode(mode).option("checkpointLocation", base + "/progress").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+        rows = spark.read.parquet(base + "/rows")
+        rest = [c for c in stream.columns if c not in keys]
+        return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "epoch").alias("_r")).select(*keys, "_r.*")
     return spark.read.parquet(base + "/rows")
 
 
@@ -79,10 +85,17 @@ def mixed_stream(left: DataFrame, right: DataFrame, key: str, n: int, m: int) ->
     return both.groupBy("source").applyInPandasWithState(step, f"{key} {kind}, source string, pos bigint", "seen bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def window_counts(stream: DataFrame, time: str, kind: str, value: str, *, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    """Counts and sums by tumbling window and kind; rows later than the watermark are dropped."""
+def window_counts(stream: DataFrame, time: str, kind: str, value: str, *, width: str = "1 day", every: str | None = None, late: str = "2 days") -> DataFrame:
+    """Counts and sums by kind and tumbling window, or sliding window if ``every`` is shorter than ``width``; rows later than the watermark are dropped, and windows before it leave the state."""
+    timed = stream.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late)
+    window = F.window("_t", width, every) if every else F.window("_t", width)
+    return timed.groupBy(window, kind).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), kind, "n", "total")
+
+
+def session_counts(stream: DataFrame, time: str, key: str, *, gap: str = "30 minutes", late: str = "2 days") -> DataFrame:
+    """Sessions of each key, which end once nothing comes for ``gap``: key, start, end, n. A session is written when the watermark has passed it."""
     timed = stream.withColumn("_t", F.col(time).cast("timestamp")).withWatermark("_t", late)
-    return timed.groupBy(F.window("_t", width), kind).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), kind, "n", "total")
+    return timed.groupBy(F.session_window("_t", gap).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
 def metrics_sink(stream: DataFrame, path: str, progress: str) -> None:
