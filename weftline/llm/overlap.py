@@ -232,7 +232,7 @@ def cross_split_links(df: DataFrame, *, key: str = "sample_id", text: str = "con
         for side, x in (("train", "_a"), ("eval", "_b"))
     )
     differing = sum((F.bit_count(F.col(f"p{k}_a").bitwiseXOR(F.col(f"p{k}_b"))) for k in range(FINGERPRINT)), F.lit(0))
-    wide = F.aggregate(F.zip_with("wide_a", "wide_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    wide = sum((F.bit_count(F.get("wide_a", F.lit(k)).bitwiseXOR(F.get("wide_b", F.lit(k)))) for k in range(WIDE_FINGERPRINT)), F.lit(0))  # no lambda: the join stays compiled
     na, nb = F.col("n_a"), F.col("n_b")
     near = (
         a.join(b, "code").where("rep_a <> rep_b").where(F.least(na, nb) >= F.lit(similarity - 1e-9) * F.greatest(na, nb))
