@@ -25,6 +25,7 @@ def test_quotas_floors_and_shortfalls(spark):
     assert got == {(1, "cat"): (31, 700, 31, 0), (1, "dog"): (5, 40, 5, 0), (1, "emu"): (30, 2, 2, 28), (2, "fox"): (5, 0, 0, 5), (3, "cat"): (5, 0, 0, 5)}
     drawn = sample.collect()
     assert len({(r["target_set"], r["record_id"]) for r in drawn}) == len(drawn) == 38
+    assert {(r["set_total"], r["sample_size"], r["reached_share"]) for r in report.where("category = 'cat' and target_set = 1").collect()} == {(38, 61, round(31 / 38, 9))}
     assert sum(r["drawn_by"] == "floor" for r in drawn) == 4
     again = sorted(map(repr, proportional_sample(pool.repartition(3), targets)[0].collect()))
     assert again == sorted(map(repr, drawn))
@@ -54,11 +55,18 @@ def test_mix_meets_its_shares(spark):
     targets = spark.createDataFrame([(1, "BIG_SET", 0.8, 100, 1), (1, "small", 0.2, 100, 3), (2, "big_set", 0.9, 1000, 2), (2, "small", 0.1, 1000, 4), (2, "none", 0.5, 10, 1)], MIX)
     configs = spark.createDataFrame([("big_set", 300, None), ("Small", 8, None)], CONFIGS)
     mix, report = mix_sources(records, targets, configs)
-    got = {(r["mix_id"], r["dataset_name"]): (r["wanted"], r["usable"], r["capacity"], r["drawn"]) for r in report.collect()}
+    rows = {(r["mix_id"], r["dataset_name"]): r for r in report.collect()}
+    got = {k: (r["wanted"], r["usable"], r["capacity"], r["expected"]) for k, r in rows.items()}
     assert got == {(1, "BIG_SET"): (80, 300, 300, 80), (1, "small"): (20, 8, 24, 20), (2, "big_set"): (900, 300, 600, 600), (2, "small"): (100, 8, 32, 32), (2, "none"): (5, 0, 0, 0)}
+    assert [rows[k]["drawn"] for k in ((2, "big_set"), (2, "small"), (2, "none"))] == [600, 32, 0]  # whole rates leave nothing to chance
+    assert abs(rows[1, "BIG_SET"]["drawn"] - 80) < 4 * (300 * 80 / 300 * 220 / 300) ** 0.5
+    assert 16 <= rows[1, "small"]["drawn"] <= 24
+    assert all(r["deviation"] == pytest.approx(r["share"] - r["target_share"]) for r in rows.values())
     used = mix.collect()
     assert len({(r["mix_id"], r["dataset_name"], r["record_id"]) for r in used}) == len(used)
-    assert sorted({r["copies"] for r in used if r["dataset_name"] == "small" and r["mix_id"] == 1}) == [2, 3]
+    assert {r["copies"] for r in used if r["dataset_name"] == "small" and r["mix_id"] == 1} <= {2, 3}
+    again = mix_sources(records.repartition(5), targets, configs)[0].collect()
+    assert sorted(map(repr, again)) == sorted(map(repr, used))
     assert all(r["copies"] <= 4 for r in used)
     shares = report.where("mix_id = 1").agg(F.sum("share")).collect()[0][0]
     assert shares == pytest.approx(1)
@@ -76,3 +84,10 @@ def test_mix_without_records(spark):
     mix, report = mix_sources(spark.createDataFrame([(None, "a", 1), (1, None, 1)], RECORDS), targets, spark.createDataFrame([(None, 3, None)], CONFIGS))
     assert mix.count() == 0
     assert {r["drawn"] for r in report.collect()} == {0}
+
+
+def test_sums_beyond_64_bits_do_not_overflow(spark):
+    """rank x quota of three thousand million rows each, by the operator's own arithmetic on one row."""
+    wide = lambda n: F.lit(n).cast("decimal(19,0)")
+    n = 6_000_000_000
+    assert spark.range(1).select(F.call_function("div", wide(n) * wide(n) + wide(7), wide(n))).collect()[0][0] == n

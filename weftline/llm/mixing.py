@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.rand import fast_unit
-from weftline.ranks import hashed_rank
+from weftline.rand import md5_unit
+from weftline.ranks import shuffled_rank
 
 
 def name_key(name: Column) -> Column:
@@ -21,20 +21,19 @@ def mix_sources(records: DataFrame, targets: DataFrame, configs: DataFrame, *, r
     dataset_name, num_train, updated_at. Returns
 
     * the mix: mix_id, dataset_name, record_id, copies (1 or more);
-    * the report: mix_id, dataset_name, target_share, wanted, usable, capacity, drawn, size_drawn, share.
+    * the report: mix_id, dataset_name, target_share, wanted, usable, capacity, expected, drawn, size_drawn, share, deviation.
 
-    Method: sizes are added up for each source, giving a repetition rate = wanted / usable, at most
+    Method: sizes are added up for each source, giving a repetition rate = wanted / total, at most
     max_repeats; a record is emitted floor(rate) times plus once more with probability equal to the
-    fraction, by a hash-seeded Bernoulli draw. A source uses at most num_train distinct records.
+    fraction, by a Bernoulli draw seeded with a hash of the record and the mix. A source uses at most num_train distinct records, the first
+    in hash order; only sources that hold more are ranked.
 
-    With ``size=None`` shares are of records. Then the uniform number behind the Bernoulli draw is
-    the record's rank in the hash order over the number of usable records, so just as many draws
-    succeed as are wanted and the share is met exactly. With ``size`` (a column, e.g. tokens)
-    total_records is a total of sizes and the uniform number is the hash itself; shares are then
-    met in expectation.
+    Without ``size`` each record has the size 1, so shares are of records; with it (a column, e.g. tokens)
+    total_records is a total of sizes. Draws are independent, so shares are met in expectation: ``expected`` is
+    the size that the rates give, ``share`` what was reached and ``deviation`` how far that is from the target.
 
     Defined cases: a record delivered several times is one record; null names match nothing; a
-    dataset without config has no limit on distinct records, of several configs the latest holds;
+    dataset without config or without num_train has no limit on distinct records, of several configs the latest holds;
     null shares, totals or repeats count as 0; a source without records is reported with drawn 0;
     null or negative sizes count as 0. Further columns are ignored.
     """
@@ -54,34 +53,23 @@ def mix_sources(records: DataFrame, targets: DataFrame, configs: DataFrame, *, r
         .join(t.select("_key").distinct(), "_key", "left_semi")
         .groupBy("_id").agg(F.min("_key").alias("_key"), F.max("_size").alias("_size"))
     )
-    held = distinct.groupBy("_key").agg(F.count(F.lit(1)).alias("_held"))
-    plan = (
-        t.join(limits, "_key", "left").join(held, "_key", "left")
-        .withColumn("usable", F.least(F.coalesce("_held", F.lit(0)), F.col("_limit")))
-    )
+    held = distinct.groupBy("_key").agg(F.count(F.lit(1)).alias("_held")).join(limits, "_key", "left")
+    over = F.coalesce(F.col("_held") > F.col("_limit"), F.lit(False))
+    ranked = shuffled_rank(distinct.join(held.where(over).select("_key", "_limit"), "_key"), "_id", f"{seed}.limit", ["_key"]).where("rank <= _limit")
+    used = distinct.join(held.where(~over).select("_key"), "_key").select("_id", "_key", "_size").unionByName(ranked.select("_id", "_key", "_size"))
+    totals = used.groupBy("_key").agg(F.count(F.lit(1)).alias("usable"), F.sum("_size").alias("_total"))
+    rate = F.when(F.col("_total") > 0, F.least(F.col("_repeats").cast("double"), F.col("wanted") / F.col("_total"))).otherwise(0.0)
+    plan = t.join(totals, "_key", "left").withColumns({"usable": F.coalesce("usable", F.lit(0)), "_total": F.coalesce("_total", F.lit(0.0))}).withColumn("_rate", rate)
     group = ["mix_id", "dataset_name"]
-    ranked = hashed_rank(distinct.join(plan, "_key"), group, "_id", seed)
-    used = ranked.where("rank <= usable")
-    if size:
-        totals = used.groupBy(*group).agg(F.sum("_size").alias("_total"))
-        rate = F.when(F.col("_total") > 0, F.least(F.col("_repeats").cast("double"), F.col("wanted") / F.col("_total"))).otherwise(0.0)
-        used = used.join(totals, group).withColumn("_rate", rate)
-        extra = fast_unit("_id", *group, salt=seed + 1) < F.col("_rate") - F.floor("_rate")
-        copies = F.floor("_rate") + extra.cast("bigint")
-    else:
-        emit = F.least(F.col("wanted"), F.col("usable") * F.col("_repeats"))
-        full = F.floor(emit / F.col("usable"))
-        copies = full + (F.col("rank") <= emit - full * F.col("usable")).cast("bigint")
-    mix = used.select(*group, F.col("_id").alias("record_id"), copies.cast("int").alias("copies"), "_size").where("copies > 0")
+    extra = md5_unit(F.concat_ws("#", "_id", *group), f"{seed}.copy") < F.col("_rate") - F.floor("_rate")
+    copies = F.floor("_rate") + extra.cast("bigint")
+    mix = used.join(plan.select("_key", *group, "_rate"), "_key").select(*group, F.col("_id").alias("record_id"), copies.cast("int").alias("copies"), "_size").where("copies > 0")
     drawn = mix.groupBy(*group).agg(F.sum("copies").alias("drawn"), F.sum(F.col("copies") * F.col("_size")).alias("size_drawn"))
-    per_mix = t.select("mix_id", "dataset_name").join(drawn, group).groupBy("mix_id").agg(F.sum("size_drawn").alias("_all"))
-    report = (
-        plan.join(drawn, group, "left").join(per_mix, "mix_id", "left")
-        .select(
-            *group, "target_share", "wanted", "usable", (F.col("usable") * F.col("_repeats")).alias("capacity"),
-            F.coalesce("drawn", F.lit(0)).alias("drawn"),
-            F.coalesce("size_drawn", F.lit(0.0)).alias("size_drawn"),
-            F.when(F.col("_all") > 0, F.coalesce("size_drawn", F.lit(0.0)) / F.col("_all")).otherwise(0.0).alias("share"),
-        )
+    per_mix = drawn.groupBy("mix_id").agg(F.sum("size_drawn").alias("_all"))
+    joined = plan.join(drawn, group, "left").join(per_mix, "mix_id", "left").withColumns({"drawn": F.coalesce("drawn", F.lit(0)), "size_drawn": F.coalesce("size_drawn", F.lit(0.0))})
+    share = F.when(F.col("_all") > 0, F.col("size_drawn") / F.col("_all")).otherwise(0.0)
+    report = joined.select(
+        *group, "target_share", "wanted", "usable", (F.col("_total") * F.col("_repeats")).alias("capacity"), (F.col("_rate") * F.col("_total")).alias("expected"),
+        "drawn", "size_drawn", share.alias("share"), (share - F.coalesce("target_share", F.lit(0.0))).alias("deviation"),
     )
     return mix.drop("_size"), report

@@ -42,8 +42,12 @@ def _mixed(spark: SparkSession, d: str, size: str | None = None) -> tuple[DataFr
     return mix_sources(records, table(spark, d, "mix_targets"), table(spark, d, "dataset_loader_configs"), size=size)
 
 
+def _rounded(report: DataFrame) -> DataFrame:
+    return report.withColumns({c: F.round(c, 9) for c in ("expected", "share", "deviation")})
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _mixed(spark, d)[1].where("drawn < wanted").select("mix_id", "dataset_name")
+    return _mixed(spark, d)[1].where("capacity < wanted").select("mix_id", "dataset_name")
 
 
 def p2_mix(spark: SparkSession, d: str) -> DataFrame:
@@ -51,11 +55,11 @@ def p2_mix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_shares(spark: SparkSession, d: str) -> DataFrame:
-    return _mixed(spark, d)[1].drop("size_drawn")
+    return _rounded(_mixed(spark, d)[1].drop("size_drawn"))
 
 
 def p2_token_shares(spark: SparkSession, d: str) -> DataFrame:
-    return _mixed(spark, d, "n_tokens")[1]
+    return _rounded(_mixed(spark, d, "n_tokens")[1])
 
 
 def p3_budget(spark: SparkSession, d: str) -> DataFrame:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.rand import fast_unit
-from weftline.ranks import BUCKETS
+from weftline.rand import md5_int
+from weftline.ranks import buckets_for
 
 
 def label_key(label: Column) -> Column:
@@ -14,14 +14,15 @@ def label_key(label: Column) -> Column:
     return F.lower(F.regexp_replace(label, r"[^\p{L}\p{N}]+", ""))
 
 
-def proportional_sample(pool: DataFrame, targets: DataFrame, *, record: str = "record_id", label: str = "ds_label", seed: int = 20, buckets: int = BUCKETS) -> tuple[DataFrame, DataFrame]:
+def proportional_sample(pool: DataFrame, targets: DataFrame, *, record: str = "record_id", label: str = "ds_label", seed: int = 20, buckets: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Draw, for each target set, records whose category shares match the targets.
 
     ``pool`` has columns ``pool``, ``record`` and ``label``; ``targets`` has target_set, pool,
     category, target_share, sample_size and min_count. Returns
 
     * the sample: target_set, pool, category, record_id, drawn_by (``systematic`` or ``floor``);
-    * the report: target_set, pool, category, target_share, wanted, available, drawn, shortfall.
+    * the report: target_set, pool, category, target_share, wanted, available, drawn, shortfall, sample_size, set_total (rows drawn for
+      the whole set), reached_share (drawn / set_total).
 
     Method: systematic unequal-probability sampling. Within a target set, records lie in order of
     category and then of a random hash. A record's inclusion probability is quota / available; the
@@ -29,7 +30,8 @@ def proportional_sample(pool: DataFrame, targets: DataFrame, *, record: str = "r
     a rank inside each bucket), so no category is ever in one task. A record is selected where the
     running sum plus one random start crosses a whole number. Quotas are whole, so category borders
     fall on whole numbers and each category gets exactly its quota. Then floors are repaired:
-    categories below ``min_count`` take further records in the random order.
+    categories below ``min_count`` take further records in the random order. These come on top, so a set with repaired floors is larger than
+    its sample_size and its shares are lower than their targets by as much; the report says so.
 
     Defined cases: a record delivered several times counts once; null and blank labels, and labels
     that are in no target, are never drawn; a null share, size or floor counts as 0; an empty pool
@@ -37,7 +39,7 @@ def proportional_sample(pool: DataFrame, targets: DataFrame, *, record: str = "r
     is served once for each name. Further columns of the pool are ignored.
     """
     t = targets.select(
-        "target_set", F.col("pool").alias("_pool"), "category", "target_share",
+        "target_set", F.col("pool").alias("_pool"), "category", "target_share", "sample_size",
         label_key(F.col("category")).alias("_key"),
         F.round(F.round(F.coalesce(F.col("target_share"), F.lit(0.0)) * F.coalesce(F.col("sample_size"), F.lit(0)), 6)).cast("bigint").alias("_quota"),
         F.coalesce(F.col("min_count"), F.lit(0)).cast("bigint").alias("_floor"),
@@ -49,11 +51,11 @@ def proportional_sample(pool: DataFrame, targets: DataFrame, *, record: str = "r
         .join(wanted_keys, ["_pool", "_key"], "left_semi")
         .groupBy("_pool", "_id").agg(F.min("_key").alias("_key"))
     )
-    bits = buckets.bit_length() - 1
+    bits = (buckets or buckets_for(pool)).bit_length() - 1
     rows = (
         records.join(t.select("target_set", "_pool", "category", "_key", "_quota", "_floor"), ["_pool", "_key"])
-        .withColumn("_h", F.xxhash64("_id", "target_set", F.lit(seed)))
-        .withColumn("_b", F.shiftrightunsigned(F.col("_h"), 64 - bits))
+        .withColumn("_h", md5_int(F.concat_ws("#", "_id", "target_set"), f"{seed}.order"))
+        .withColumn("_b", F.shiftright(F.col("_h"), 32 - bits))
     )
     group = ["target_set", "category"]
     counts = rows.groupBy(*group, "_quota", "_floor", "_b").agg(F.count(F.lit(1)).alias("_n"))
@@ -68,8 +70,10 @@ def proportional_sample(pool: DataFrame, targets: DataFrame, *, record: str = "r
     ranked = rows.join(offsets, [*group, "_b"]).withColumn("_rank", F.col("_before") + F.row_number().over(inside))
 
     quota = F.least(F.col("_quota"), F.col("_available"))
-    start = fast_unit("target_set", salt=seed + 1)
-    mass = lambda r: F.floor(r * quota / F.col("_available") + start)
+    # whole numbers of up to 38 digits: no product overflows, and every engine draws the same rows
+    wide = lambda c: c.cast("decimal(19,0)")
+    start = F.call_function("div", wide(F.col("_available")) * wide(md5_int("target_set", f"{seed}.start")), wide(F.lit(1 << 32)))
+    mass = lambda r: F.call_function("div", wide(r) * wide(quota) + wide(start), wide(F.col("_available")))
     crossed = mass(F.col("_rank")) > mass(F.col("_rank") - 1)
     passed_over = F.col("_rank") - mass(F.col("_rank"))
     missing = F.least(F.col("_floor"), F.col("_available")) - quota
@@ -89,5 +93,9 @@ def proportional_sample(pool: DataFrame, targets: DataFrame, *, record: str = "r
             F.coalesce("drawn", F.lit(0)).alias("drawn"),
         )
         .withColumn("shortfall", F.col("wanted") - F.col("drawn"))
+        .join(t.groupBy("target_set").agg(F.max("sample_size").alias("sample_size")), "target_set")
+        .join(drawn.groupBy("target_set").agg(F.sum("drawn").alias("set_total")), "target_set", "left")
+        .withColumn("set_total", F.coalesce("set_total", F.lit(0)))
+        .withColumn("reached_share", F.when(F.col("set_total") > 0, F.round(F.col("drawn") / F.col("set_total"), 9)).otherwise(0.0))
     )
     return sample, report
