@@ -147,3 +147,44 @@ def test_texts_are_packed_whole(spark):
         assert len([r for r in own if r["doc_id"] == 900]) == -(-sizes[900] // capacity)
         assert len(own) == len(rows) - 1 + -(-sizes[900] // capacity)
     assert packing.pack_texts(df.limit(0), specs).count() == 0
+
+
+def test_a_capacity_of_131072_and_many_specs(spark):
+    random.seed(4)
+    sizes = [random.choice([1, 5, 700, 40_000, 65_536, 65_537, 100_000, 131_072]) for _ in range(3000)]
+    runs, opened = packing.best_fit_runs(collections.Counter(sizes), 131_072)
+    assert opened == plain_best_fit(sizes, 131_072)
+    looked_up = packing.run_table([[], runs])
+    fill, seen = collections.Counter(), collections.Counter()
+    for s in sizes:
+        at = looked_up.containers(np.array([1]), np.array([s]), np.array([seen[s]]))[0]
+        seen[s] += 1
+        fill[at] += s
+    assert len(fill) == opened
+    assert max(fill.values()) <= 131_072
+    df = spark.createDataFrame([(i, "word " * (i % 90) * 50) for i in range(200)], "doc_id bigint, text string")
+    specs = spark.createDataFrame([(i, "byte_bpe_50k", 131_072 if i == 3 else 64 + i) for i in range(20)], "spec_id int, tokenizer string, capacity_tokens int")
+    got = packing.pack_texts(df, specs).groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("n"), F.count_distinct("doc_id").alias("d")).collect()
+    assert {r["spec_id"] for r in got} == set(range(20))
+    assert all(r["n"] <= (131_072 if r["spec_id"] == 3 else 64 + r["spec_id"]) for r in got)
+    tokens = {r["spec_id"]: 0 for r in got}
+    for r in got:
+        tokens[r["spec_id"]] += r["n"]
+    assert len(set(tokens.values())) == 1
+    assert sum(1 for r in got if r["spec_id"] == 3) == -(-tokens[3] // 131_072)
+
+
+@pytest.mark.parametrize("spec", [(1, None, 64), (1, "byte_bpe_50k", 0), (1, "byte_bpe_50k", None)])
+def test_bad_specs_are_refused(spark, spec):
+    df = spark.createDataFrame([(1, "a")], "doc_id bigint, text string")
+    specs = spark.createDataFrame([spec], "spec_id int, tokenizer string, capacity_tokens int")
+    with pytest.raises(ValueError, match="capacity"):
+        packing.pack_texts(df, specs)
+    assert packing.pack_texts(df, specs.limit(0)).count() == 0
+
+
+def test_units_beyond_the_memo_are_counted_the_same(monkeypatch):
+    texts = [" ".join("u%d" % random.randrange(500) for _ in range(60)) for _ in range(40)]
+    want = tokenizers.UnitCounter(NAMES).counts(texts)
+    monkeypatch.setattr(tokenizers._Counts, "LIMIT", 50)
+    assert (tokenizers.UnitCounter(NAMES).counts(texts) == want).all()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,12 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm import tokenizers
-from weftline.ranks import hashed_rank
+from weftline.ranks import buckets_for, hashed_rank
 from weftline.storage import materialize
 
-#: Bits for an item's rank within its size class, in the key that finds its run.
-_RANK_BITS = 44
-
 
 def best_fit_runs(histogram: Mapping[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
     """Best fit by classes: largest sizes first, each item into the smallest gap that holds it.
@@ -70,6 +68,35 @@ def best_fit_runs(histogram: Mapping[int, int], capacity: int) -> tuple[list[tup
     return runs, opened
 
 
+@dataclass
+class RunTable:
+    """Runs in order of class (spec, size) and rank. ``keys`` are class number and rank in one whole number of 63 bits, shared out as the counts need."""
+
+    classes: np.ndarray
+    shift: int
+    width: int
+    keys: np.ndarray
+    starts: np.ndarray
+    counts: np.ndarray
+
+    def containers(self, spec: np.ndarray, size: np.ndarray, rank: np.ndarray) -> np.ndarray:
+        key = np.searchsorted(self.classes, spec * self.width + size) << self.shift | rank
+        at = np.searchsorted(self.keys, key, side="right") - 1
+        return self.starts[at] + (key - self.keys[at]) % self.counts[at]
+
+
+def run_table(runs: list[list[tuple[int, int, int, int, int]]]) -> RunTable:
+    """The runs of several specs, numbered from 0, as one table to look containers up in."""
+    flat = np.array([(spec, *run) for spec, rs in enumerate(runs) for run in sorted(rs)], np.int64).reshape(-1, 6)
+    spec, size, rank, start, count, _ = flat.T
+    width = int(size.max(initial=0)) + 1
+    classes, number = np.unique(spec * width + size, return_inverse=True)
+    shift = int((flat[:, 2] + flat[:, 5]).max(initial=1)).bit_length()
+    if shift + len(classes).bit_length() > 63:
+        raise OverflowError("more runs than 63 bits can tell apart")  # beyond 10^18 items times classes
+    return RunTable(classes, shift, width, number << shift | rank, start, count)
+
+
 def token_sizes(df: DataFrame, names: list[str], *, key: str = "doc_id", text: str = "text", folder: str = tokenizers.TOKENIZER_DIR) -> DataFrame:
     """One row (key, sizes) a row: the sizes of its text under each tokenizer, by one pass over the texts."""
 
@@ -99,9 +126,16 @@ def pack_texts(df: DataFrame, specs: DataFrame, *, key: str = "doc_id", text: st
     the texts have is spread over the cluster.
 
     Defined cases: null and empty texts (0 tokens) lie in container 0 with 0 tokens; rows with equal
-    keys are separate items; ``specs`` must be few, as a spec table is; an empty table gives no rows.
+    keys are separate items; an empty table gives no rows. ``specs`` is read to the driver, as a spec table is small; any capacity
+    from one token up and any number of specs will do. A spec without a tokenizer or a positive capacity is an error before any text is read.
     """
-    wanted = [(r.spec_id, r.tokenizer, int(r.capacity_tokens)) for r in specs.select("spec_id", "tokenizer", "capacity_tokens").orderBy("spec_id").collect()]
+    rows = specs.select("spec_id", "tokenizer", "capacity_tokens").orderBy("spec_id").collect()
+    if any(not r.tokenizer or not r.capacity_tokens or r.capacity_tokens < 1 for r in rows):
+        raise ValueError("each spec needs a tokenizer and a capacity of at least one token")
+    wanted = [(r.spec_id, r.tokenizer, int(r.capacity_tokens)) for r in rows]
+    if not wanted:
+        kinds = f"spec_id {specs.schema['spec_id'].dataType.simpleString()}, `{key}` {df.schema[key].dataType.simpleString()}, piece int, container_id bigint, n_tokens bigint"
+        return df.sparkSession.createDataFrame([], kinds)
     names = sorted({name for _, name, _ in wanted})
     sized = materialize(token_sizes(df, names, key=key, text=text, folder=folder), "sizes")
 
@@ -117,26 +151,15 @@ def pack_texts(df: DataFrame, specs: DataFrame, *, key: str = "doc_id", text: st
     for r in counted.collect():
         histograms[r["spec"]][r["size"]] = r["n"]
 
-    keys, starts, containers = [], [], []
-    for i, (_, _, capacity) in enumerate(wanted):
-        runs, _ = best_fit_runs(histograms[i], capacity)
-        for size, rank, start, count, _ in sorted(runs):
-            keys.append((i * (1 << 15) + size) << _RANK_BITS | rank)
-            starts.append(start)
-            containers.append(count)
-    if any(c >= 1 << 15 for _, _, c in wanted) or len(wanted) >= 16:
-        raise ValueError("capacities must be under 32768 tokens and specs under 16 for the run keys")
-    found = df.sparkSession.sparkContext.broadcast((np.array(keys, np.int64), np.array(starts, np.int64), np.array(containers, np.int64)))
+    # runs lie in order of spec, size and rank; a class (spec, size) knows where its own begin, so a rank is looked up within its class
+    found = df.sparkSession.sparkContext.broadcast(run_table([best_fit_runs(histograms[i], capacity)[0] for i, (_, _, capacity) in enumerate(wanted)]))
 
     @F.pandas_udf("bigint")
     def container(spec: pd.Series, size: pd.Series, rank: pd.Series) -> pd.Series:
-        keys, starts, containers = found.value
-        key = (spec.to_numpy(np.int64) * (1 << 15) + size.to_numpy(np.int64)) << _RANK_BITS | (rank.to_numpy(np.int64) - 1)
-        at = np.searchsorted(keys, key, side="right") - 1
-        return pd.Series(starts[at] + (key - keys[at]) % containers[at])
+        return pd.Series(found.value.containers(spec.to_numpy(np.int64), size.to_numpy(np.int64), rank.to_numpy(np.int64) - 1))
 
     ids = F.element_at(F.create_map(*[x for i, (s, _, _) in enumerate(wanted) for x in (F.lit(i), F.lit(s))]), F.col("spec"))
-    ranked = hashed_rank(items.where("size > 0"), ["spec", "size"], "key", seed, buckets=64)
+    ranked = hashed_rank(items.where("size > 0"), ["spec", "size"], ["key", "piece"], seed, buckets=buckets_for(sized, 64))
     packed = ranked.select(ids.alias("spec_id"), F.col("key").alias(key), "piece", container("spec", "size", "rank").alias("container_id"), F.col("size").alias("n_tokens"))
     empty = items.where("size <= 0").select(ids.alias("spec_id"), F.col("key").alias(key), "piece", F.lit(0).cast("bigint").alias("container_id"), F.lit(0).cast("bigint").alias("n_tokens"))
     return packed.unionByName(empty)
