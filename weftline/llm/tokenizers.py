@@ -115,19 +115,24 @@ def load(name: str, folder: str = TOKENIZER_DIR) -> RankTokenizer | PieceTokeniz
 class _Counts(dict):
     """Token counts of units under several tokenizers, packed into one whole number; filled as units turn up."""
 
-    #: Units kept at most; beyond it the table starts anew, so memory is bounded whatever the vocabulary.
+    #: Units kept at most in each of two generations: a full table becomes the older one, from which units that turn up again
+    #: are taken over. So memory is bounded whatever the vocabulary, and frequent units stay.
     LIMIT = 200_000
 
     def __init__(self, tokens: list, first: bool) -> None:
         super().__init__()
+        self.older: dict[str, int] = {}
         self.encoders = [(t.model.encode if isinstance(t, PieceTokenizer) else t.encoding.encode_ordinary, "" if first or isinstance(t, PieceTokenizer) else " ", 40 * i) for i, t in enumerate(tokens)]
 
     def __missing__(self, unit: str) -> int:
         if len(self) >= self.LIMIT:
+            self.older = dict(self)
             self.clear()
-        packed = 0
-        for encode, lead, shift in self.encoders:
-            packed |= len(encode(lead + unit)) << shift
+        packed = self.older.get(unit)
+        if packed is None:
+            packed = 0
+            for encode, lead, shift in self.encoders:
+                packed |= len(encode(lead + unit)) << shift
         self[unit] = packed
         return packed
 
