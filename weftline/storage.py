@@ -39,9 +39,9 @@ def _remove(spark: SparkSession, path: str) -> None:
 _steps: list[tuple[SparkSession, str]] = []
 
 
-def step_folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed by :func:`remove_steps` or when the driver ends."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+def step_folder(spark: SparkSession, name: str, suffix: str | None = None) -> str:
+    """A path in the shared folder, a new one without ``suffix``, removed by :func:`remove_steps` or when the driver ends."""
+    path = f"{shared_folder(spark)}/{name}-{suffix or uuid.uuid4().hex}"
     if not _steps:
         atexit.register(remove_steps)
     _steps.append((spark, path))
