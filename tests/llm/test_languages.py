@@ -91,3 +91,67 @@ def test_assignment_in_text_without_blanks():
     assert clean(text) == text.replace("x=0.7", " " * 5)
     assert clean("on pose prénom=José puis x = 3 ici") == "on pose             puis       ici"
     assert clean("a b=c==d e") == "a        e"
+
+
+def test_segments_cut_the_text_as_it_is(model):
+    en = "The notebook of the reader says that the hidden layer changes shape near the end."
+    de = "Wir haben die mittlere Schicht und das Gespräch verglichen, aber der Wert blieb bei null."
+    text = f"​<b>ﬁrst</b> {en}​ {de} ﬁ {en}­"
+    (segments,) = langid.classify(model, [text])
+    assert [s[2] for s in segments] == ["en", "de", "en"]
+    start, end = segments[1][:2]
+    assert text[start:end] == de
+    assert text[segments[2][0] :].endswith(f"{en}­")
+
+
+def test_short_whole_sentences_count_and_short_phrases_do_not(model):
+    en = "The notebook of the reader says that the hidden layer changes shape near the end."
+    found = lambda t: {s[2] for s in langid.classify(model, [t])[0]}
+    assert found(f"{en} Мы сравнили результат. {en}") == {"en", "ru"}
+    assert found(f"{en} мы сравнили {en}") == {"en"}
+    assert found(f"{en} Saenim Glouplousk. {en}") == {"en"}
+
+
+def test_confidence_is_about_the_share_that_is_right(documents, model):
+    """On all sentences of documents outside the training sample whose label most of the text bears out; the rest of the labels is wrong."""
+    rows = documents.where("lang in ('en','fr','de','es','it','pt','nl','pl','ru','zh') and text is not null").collect()
+    sums, labels = [], []
+    for r in rows:
+        found = langid.classify(model, [r["text"]])[0]
+        votes = collections.Counter()
+        for s in found:
+            votes[s[2]] += s[4]
+        if votes and votes.most_common(1)[0][0] == r["lang"] and len({s[2] for s in found if s[2]}) == 1:
+            text = langid.clean(r["text"])
+            for a, b in langid.sentences(text):
+                ws = langid.words(text[a:b])
+                if langid.weight(ws) >= langid.LEAST_WORDS:
+                    sums.append(model.word_sums(ws).sum(axis=0))
+                    labels.append(languages.CODES.index(r["lang"]))
+    p = model.probabilities(np.stack(sums))
+    right, sure = p.argmax(axis=1) == np.array(labels), p.max(axis=1)
+    assert len(sure) > 1000
+    for low, high in ((0.5, 0.9), (0.9, 0.97), (0.97, 1.01)):
+        inside = (sure >= low) & (sure < high)
+        if inside.sum() >= 30:
+            assert right[inside].mean() >= sure[inside].mean() - 0.1
+    assert abs(right.mean() - sure.mean()) < 0.06
+
+
+def test_temperature_withstands_wrong_labels():
+    rng = np.random.default_rng(1)
+    true = rng.integers(0, 4, 20_000)
+    logits = rng.normal(size=(20_000, 4)) + 3 * np.eye(4)[true]  # the likelihood of these is the softmax of three times the logits
+    e = np.exp(3 * logits)
+    labels = (e / e.sum(axis=1, keepdims=True)).cumsum(axis=1).__gt__(rng.random((20_000, 1))).argmax(axis=1)
+    assert 2.3 < subwords.temperature(logits, labels) < 4
+    wrong = np.where(rng.random(20_000) < 0.1, rng.integers(0, 4, 20_000), labels)
+    assert 2 < subwords.temperature(logits, wrong) < 4.5
+
+
+def test_a_model_is_fitted_once(spark, documents, monkeypatch):
+    model = langid.fit_once(documents)
+    monkeypatch.setattr(langid, "fit", lambda *a, **k: 1 / 0)
+    again = langid.fit_once(documents)
+    assert np.array_equal(model.table, again.table)
+    assert (again.scale, again.bits) == (model.scale, model.bits)

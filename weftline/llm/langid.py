@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.languages import CODES, code_column, names_other
 from weftline.llm.subwords import SubwordModel, train
+from weftline.storage import step_folder
 
 #: The classifier's classes: the languages and, last, text in none of them (names, code, noise).
 CLASSES = (*CODES, "none")
@@ -23,9 +25,14 @@ TRAIN_DOCUMENTS, TRAIN_SENTENCES = 400, 2000
 
 #: Words that a sentence must have to count, the confidence below which it is rejected, and the same for a
 #: sentence in another language than most of its text.
-LEAST_WORDS, LEAST_CONFIDENCE, OTHER_CONFIDENCE = 5, 0.8, 0.93
+LEAST_WORDS, LEAST_CONFIDENCE, OTHER_CONFIDENCE = 5, 0.7, 0.87
 
-_INVISIBLE = re.compile(r"[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\ufffd\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x84\x86-\x9f]")
+#: A sentence of fewer words counts in another language than most of its text if it is whole (a capital, a full stop) and
+#: has so many words and such a confidence.
+SHORT_WORDS, SHORT_CONFIDENCE = 3, 0.98
+
+_SIGNS = r"\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\ufffd\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x84\x86-\x9f"
+_INVISIBLE = re.compile(f"[{_SIGNS}]")
 #: Characters of scripts without blanks between words: no part of an assignment, or it would take the whole paragraph along.
 _UNSPACED = r"\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3000-\u30ff\u3400-\u9fff"
 #: Markup by a sign that a text must hold for it: tags, entities, addresses and assignments.
@@ -36,15 +43,13 @@ _MARKUP = (
     ("=", re.compile(rf"(?<![^\s{_UNSPACED}])[^\s={_UNSPACED}]+ ?=+ ?[^\s{_UNSPACED}]+")),
 )
 _LABEL = re.compile(r"^[\W\d_]*[^\W\d_]+:\s")
-_BREAK = re.compile(r"\n+|(?<=[.!?\u2026])[\"\u201d\u00bb\u2019')\]*_]*\s+|(?<=[\u3002\uff01\uff1f])")
+_BREAK = re.compile(rf"\n+|(?<=[.!?\u2026\uff0e])[\"\u201d\u00bb\u2019')\]*_{_SIGNS}]*\s+|(?<=[\u3002\uff01\uff1f])")
+_WHOLE = re.compile(r"^[\W\d_]*(?:[A-ZÀ-ÞĀ-ŽА-ЯЁ]\w*\W+\w|[\u3400-\u9fff]).*[.!?\u3002\uff01\uff1f][\"\u201d\u00bb\u2019')\]*_\s]*$", re.S)
 _WORD = re.compile(r"[\u3400-\u9fff]|[^\W_\u3400-\u9fff]+")
 
 
 def clean(text: str) -> str:
-    """The text without invisible characters, with markup blanked out (same places, so offsets hold for what is left)."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKC", text)
-    text = _INVISIBLE.sub("", text)
+    """The text with markup blanked out; every other character stays at its place."""
     for sign, pattern in _MARKUP:
         if sign in text:
             text = pattern.sub(lambda m: " " * len(m[0]), text)
@@ -52,7 +57,7 @@ def clean(text: str) -> str:
 
 
 def sentences(text: str) -> list[tuple[int, int]]:
-    """Places (start, end) of the sentences of a cleaned text; line breaks end a sentence."""
+    """Places (start, end) of the sentences of a text; line breaks end a sentence."""
     out, at = [], 0
     for m in _BREAK.finditer(text):
         if m.start() > at:
@@ -64,8 +69,10 @@ def sentences(text: str) -> list[tuple[int, int]]:
 
 
 def words(sentence: str) -> list[str]:
-    """The words in lower case, each Han character by itself; a leading label such as ``note:`` and runs that hold digits (codes, hashes, numbers) are none."""
-    return [w for w in _WORD.findall(_LABEL.sub("", sentence).lower()) if w.isalpha()]
+    """The words in lower case, each Han character by itself, without invisible characters and differences of Unicode form; a leading label such as ``note:`` and runs that hold digits (codes, hashes, numbers) are none."""
+    if not sentence.isascii():
+        sentence = unicodedata.normalize("NFKC", sentence)
+    return [w for w in _WORD.findall(_LABEL.sub("", _INVISIBLE.sub("", sentence)).lower()) if w.isalpha()]
 
 
 def weight(ws: list[str]) -> float:
@@ -111,10 +118,34 @@ def fit(documents: DataFrame, *, key: str = "doc_id", text: str = "text", lang:
     return train(texts, np.array(labels), len(CLASSES)) if texts and len(set(labels)) > 1 else None
 
 
+def fit_once(documents: DataFrame, **arguments) -> SubwordModel | None:
+    """The model of :func:`fit`, kept in the shared folder under a name made from the application, the files that ``documents`` reads (their lengths and times) and the arguments.
+
+    A second query of the application over the same files reads it in place of training again. It is removed with the other written steps.
+    """
+    spark = documents.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    about = [(spark.sparkContext.applicationId, sorted(arguments.items()))]
+    for name in sorted(documents.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        about.append((name, status.getLen(), status.getModificationTime()))
+    if len(about) == 1:  # a table that isn't read from files
+        return fit(documents, **arguments)
+    folder = step_folder(spark, "language-model", hashlib.blake2s(repr(about).encode(), digest_size=12).hexdigest())
+    done = jvm.org.apache.hadoop.fs.Path(folder + "/_SUCCESS")
+    if done.getFileSystem(conf).exists(done):
+        return SubwordModel.from_bytes(spark.read.parquet(folder).collect()[0]["model"])
+    model = fit(documents, **arguments)
+    if model:
+        spark.createDataFrame([(bytearray(model.to_bytes()),)], "model binary").coalesce(1).write.mode("overwrite").parquet(folder)
+    return model
+
+
 def classify(model: SubwordModel, texts: list[str | None]) -> list[list[tuple[int, int, str | None, float, float]]]:
-    """For each text its segments (start, end, language or None, confidence, words): runs of sentences in one language."""
+    """For each text its segments (start, end, language or None, confidence, words): runs of sentences in one language, as places in the text as it is."""
     flat: list[str] = []
-    places, sizes, weights, han = [], [], [], []
+    places, sizes, weights, whole = [], [], [], []
     for i, t in enumerate(texts):
         if not t:
             continue
@@ -125,6 +156,7 @@ def classify(model: SubwordModel, texts: list[str | None]) -> list[list[tuple[in
                 places.append((i, a, b))
                 sizes.append(len(ws))
                 weights.append(weight(ws))
+                whole.append(SHORT_WORDS <= weights[-1] < LEAST_WORDS and _WHOLE.match(t[a:b]) is not None)
                 flat += ws
     out: list[list[tuple[int, int, str | None, float, float]]] = [[] for _ in texts]
     if not flat:
@@ -139,7 +171,9 @@ def classify(model: SubwordModel, texts: list[str | None]) -> list[list[tuple[in
     owner = np.array([i for i, _, _ in places])
     votes = np.zeros((len(texts), len(CODES)))
     np.add.at(votes, (owner[counts], best[counts]), weights[counts])
-    counts &= (sure >= OTHER_CONFIDENCE) | (votes.argmax(axis=1)[owner] == best)
+    most = votes.argmax(axis=1)[owner]
+    counts &= (sure >= OTHER_CONFIDENCE) | (most == best)
+    counts |= np.array(whole) & (sure >= SHORT_CONFIDENCE) & (best < len(CODES)) & (most != best) & (votes.max(axis=1)[owner] > 0)
     for (i, a, b), k, c, w, ok in zip(places, best.tolist(), sure.tolist(), weights.tolist(), counts.tolist(), strict=True):
         lang = CODES[k] if ok else None
         segs = out[i]
@@ -163,7 +197,8 @@ def label_languages(documents: DataFrame, model: SubwordModel, *, key: str = "do
     counted sentences; null where no sentence counts (no prose, under five words, null or empty
     text). A sentence counts with at least LEAST_WORDS words and LEAST_CONFIDENCE; other sentences
     go with the segment before them, so foreign names, words and phrases never form a segment.
-    Segments: start, end (in the cleaned text), lang, confidence, n_words. Further columns are ignored.
+    A short whole sentence counts in another language than most of its text (SHORT_WORDS, SHORT_CONFIDENCE).
+    Segments: start, end (places in the text, so that it can be cut there), lang, confidence, n_words. Further columns are ignored.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)  # of fixed size: 2^bits rows
 

@@ -122,10 +122,10 @@ def p7_waste(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
-    from weftline.llm.langid import fit, label_languages
+    from weftline.llm.langid import fit_once, label_languages
 
     documents = table(spark, d, "documents")
-    return label_languages(documents, fit(documents))
+    return label_languages(documents, fit_once(documents))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
