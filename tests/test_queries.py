@@ -7,7 +7,11 @@ from weftline.plans import catalog
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+#: Iterative queries, held against a fit in numpy (test_probes.py).
+WITHOUT_SQL = {"q117_softmax_probe"}
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - WITHOUT_SQL))
 def test_query_equals_sql(name, spark, data, duck):
     assert name in SQL
     assert compare(spark, duck, data, QUERIES[name], SQL[name]) == ""

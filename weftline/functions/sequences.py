@@ -100,3 +100,34 @@ def dense(slots: Column, length: Column) -> Column:
 def token_activations(values: Column) -> Column:
     """``token (0.00)`` for each (token, activation) of an array; a missing activation is 0."""
     return F.array_join(F.transform(values, lambda v: F.concat(v["s"], F.format_string(" (%.2f)", F.coalesce(v["act"], F.lit(0.0))))), " ")
+
+
+def special_mask(ids: Column, *specials: int | None) -> Column:
+    """Whether each id is one of the special ones (begin, end, padding); those that a tokenizer lacks are None."""
+    known = [s for s in specials if s is not None]
+    return F.transform(ids, lambda x: F.coalesce(x.isin(*known), F.lit(False)) if known else F.lit(False))
+
+
+def without_special(ids: Column, *specials: int | None) -> Column:
+    """The ids that aren't special, in order; indices into the result count those only."""
+    known = [s for s in specials if s is not None]
+    return F.filter(ids, lambda x: ~F.coalesce(x.isin(*known), F.lit(False))) if known else ids
+
+
+def label_prefix(label: Column, sep: str = "-") -> Column:
+    """What stands before the first separator; empty for a null label."""
+    return F.coalesce(F.split_part(label, F.lit(sep), F.lit(1)), F.lit(""))
+
+
+def absolute_range(start: Column, end: Column, length: Column) -> Column:
+    """Struct (start, end, valid) of a range of positions in which negative bounds count from the end; valid if it lies in the text and isn't empty."""
+    at = lambda x: F.when(x < 0, x + length).otherwise(x)
+    a, b = at(start), at(end)
+    return F.struct(a.alias("start"), b.alias("end"), ((a >= 0) & (a < b) & (b <= length)).alias("valid"))
+
+
+def image_window(length: Column, offset: Column, size: Column) -> Column:
+    """Struct (begin, end) of the window of at most ``size`` places that ends ``offset`` (negative) before the end, kept within the text."""
+    end = F.greatest(F.lit(1), F.least(length + offset, F.when(length > 1, length - 1).otherwise(0)))
+    kept = F.greatest(F.least(size, end + 1), F.lit(1))
+    return F.struct((end - kept + 1).alias("begin"), end.alias("end"))

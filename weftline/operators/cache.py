@@ -43,3 +43,11 @@ def cached(requests: DataFrame, cache: DataFrame, prompt: str, provider: Provide
     new = respond(asked, prompt, provider).select("key", "response")
     answers = joined.join(new, "key", "left").withColumn("hit", F.coalesce("_known", F.lit(False))).withColumn("response", F.when(F.col("hit"), F.col("_old")).otherwise(F.col("response")))
     return answers.drop("_old", "_known"), new
+
+
+def respond_in_order(requests: DataFrame, prompt: str, order: str, provider: Provider, *, parallel: int) -> DataFrame:
+    """Responses with ``ordinal`` (0, 1, ...), the place of their request by ``order``: at most ``parallel`` batches are under way, and the order can be told afterwards."""
+    from weftline.ranks import value_rank
+
+    numbered = value_rank(requests, order, order, rank="ordinal").withColumn("ordinal", F.col("ordinal") - 1)
+    return respond(numbered, prompt, provider, parallel=parallel)

@@ -75,3 +75,21 @@ def names_once(df: DataFrame, name: str) -> DataFrame:
     """Rows whose name no other row has; names are counted before any other filter. Partial counts leave every partition, so a frequent name is never in one task."""
     counted = df.groupBy(name).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*[c for c in df.columns if c != name])).alias("_r"))
     return counted.where("_n = 1").select(name, "_r.*").select(*df.columns)
+
+
+def aligned(left: DataFrame, right: DataFrame, left_key: str, right_key: str, order: str) -> DataFrame:
+    """One row: rows on each side, rows at the same place (by ``order``) and how many of them have other keys than their partner.
+
+    The sides are aligned if n_left = n_right and n_other = 0; :func:`checked` makes that an error.
+    """
+    a = value_rank(left.select(F.col(order).alias("_o"), F.col(left_key).alias("_l")), "_o", "_o", rank="_at").select("_at", "_l", F.lit(1).alias("_a"))
+    b = value_rank(right.select(F.col(order).alias("_o"), F.col(right_key).alias("_r")), "_o", "_o", rank="_at").select("_at", "_r", F.lit(1).alias("_b"))
+    both = a.join(b, "_at", "full")
+    met = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    return both.agg(F.count("_a").alias("n_left"), F.count("_b").alias("n_right"), F.count_if(met).alias("n_met"), F.count_if(met & ~F.col("_l").eqNullSafe(F.col("_r"))).alias("n_other"))
+
+
+def checked(report: DataFrame) -> DataFrame:
+    """The report of :func:`aligned`; running it is an error if the sides aren't aligned."""
+    fine = (F.col("n_left") == F.col("n_right")) & (F.col("n_other") == 0)
+    return report.where(F.when(fine, True).otherwise(F.raise_error(F.concat(F.lit("keys differ at "), F.col("n_other"), F.lit(" places of "), F.col("n_left")))))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text
 from weftline.operators import evals
-from weftline.plans import composites, corpus, files, scores, sequences, statements, texts, vectors  # noqa: F401  (the import registers the queries)
+from weftline.plans import composites, corpus, features, files, panels, scores, sequences, shapes, statements, texts, vectors  # noqa: F401  (the import registers the queries)
 from weftline.plans.registry import QUERIES, SQL
 from weftline.rand import md5_below
 

@@ -17,16 +17,20 @@ def _file(spark: SparkSession, path: str):
     return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def save(spark: SparkSession, config: dict, path: str) -> None:
-    """Write a config to any file system that the cluster knows; a file that is there is replaced."""
+def put(spark: SparkSession, text: str, path: str) -> None:
+    """Write a small file to any file system that the cluster knows; a file that is there is replaced."""
     target, files = _file(spark, path)
     out = files.create(target, True)
     try:
-        out.write(bytearray((yaml.safe_dump(config, sort_keys=False) if yaml else json.dumps(config, indent=2)).encode()))
+        out.write(bytearray(text.encode()))
     finally:
         out.close()
 
 
+def save(spark: SparkSession, config: dict, path: str) -> None:
+    put(spark, yaml.safe_dump(config, sort_keys=False) if yaml else json.dumps(config, indent=2), path)
+
+
 def load(spark: SparkSession, path: str) -> dict:
     target, files = _file(spark, path)
     if not files.exists(target):

@@ -173,5 +173,6 @@ def existing_files(spark: SparkSession, folder: str, glob: str = "*") -> DataFra
 
 
 def image_paths(content: Column) -> Column:
-    """Paths of the image parts of a message's content (type, text, image); none for plain text."""
-    return F.transform(F.filter(content, lambda p: p["type"] == "image"), lambda p: p["image"])
+    """Paths of the image parts of a message's content (type, text, image, path): ``image``, else ``path``; none for plain text."""
+    parts = F.filter(content, lambda p: p["type"] == "image")
+    return F.filter(F.transform(parts, lambda p: F.coalesce(p["image"], p["path"])), lambda x: x.isNotNull())

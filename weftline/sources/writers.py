@@ -68,7 +68,7 @@ def flatten_runs(spark: SparkSession, folder: str, target: str, pattern: str = r
     found = discover_runs(spark, folder, "hypothesis_grade.json", "description.txt", pattern)
     at = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("folder")
     grades = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "hypothesis_grade.json").schema("score int, grade string").option("multiLine", True).json(folder).select("*", at)
-    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "description.txt").text(folder, wholetext=True).select(F.trim("value").alias("description"), at)
+    texts = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "description.txt").text(folder, wholetext=True).select(F.regexp_replace("value", r"^\s+|\s+$", "").alias("description"), at)
     key = lambda df: df.withColumn("folder", F.regexp_replace("folder", "^file:/+", "/"))
     runs = key(found).join(key(grades), "folder").join(key(texts), "folder")
     rows = runs.select(F.substring_index("folder", "/", -1).alias("name"), "mi", F.col("run").alias("run_idx"), "score", "grade", "description")
