@@ -9,6 +9,8 @@ buckets follows the bytes that the plan reads, so a bucket stays small whatever
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -102,33 +104,34 @@ def value_at_rank(df: DataFrame, value: str, place: Column, group: Sequence[str]
     table: then rows are counted by range first, and only the range that holds the place is ordered. Nulls are left out.
     Columns: the group, ``n`` and ``name``.
     """
+    return values_at_ranks(df, value, {name: place}, group, continuous=continuous)
+
+
+def values_at_ranks(df: DataFrame, value: str, places: dict[str, Column], group: Sequence[str] = (), *, continuous: bool = False) -> DataFrame:
+    """The same for several places at once, by name."""
     known = df.where(F.col(value).isNotNull()).select(*group, F.col(value).alias("_v"))
     if continuous:
         ranged = value_ranges(known, "_v")
         counts = ranged.groupBy(*group, "_range").agg(F.count(F.lit(1)).alias("_c"))
         upto = Window.partitionBy(*group).orderBy("_range")
         summed = counts.withColumn("_end", F.sum("_c").over(upto)).withColumn("n", F.sum("_c").over(Window.partitionBy(*group)))
-        hit = summed.where((F.col("_end") > place) & (F.col("_end") - F.col("_c") <= place))
+        holds = [(F.col("_end") > p) & (F.col("_end") - F.col("_c") <= p) for p in places.values()]
         keys = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
-        hit = hit.select(*keys, F.col("_range").alias("_at"), "n", (F.col("_end") - F.col("_c")).alias("_before"))
+        hit = summed.where(reduce(or_, holds)).select(*keys, F.col("_range").alias("_at"), "n", (F.col("_end") - F.col("_c")).alias("_before"))
         same = [F.col(g).eqNullSafe(F.col(f"_g{i}")) for i, g in enumerate(group)]
-        histogram = ranged.join(F.broadcast(hit) if not group else hit, [F.col("_range") == F.col("_at"), *same]).groupBy(*group, "n", "_before", "_v").agg(F.count(F.lit(1)).alias("_c"))
-        inside = Window.partitionBy(*group, "n").orderBy("_v")
+        histogram = ranged.join(F.broadcast(hit) if not group else hit, [F.col("_range") == F.col("_at"), *same]).groupBy(*group, "n", "_at", "_before", "_v").agg(F.count(F.lit(1)).alias("_c"))
+        inside = Window.partitionBy(*group, "_at").orderBy("_v")
         summed = histogram.withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
     else:
         histogram = known.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
         upto = Window.partitionBy(*group).orderBy("_v")
         summed = histogram.withColumn("_upto", F.sum("_c").over(upto)).withColumn("n", F.sum("_c").over(Window.partitionBy(*group)))
-    return summed.where(F.col("_upto") > place).groupBy(*group, "n").agg(F.min("_v").alias(name))
+    return summed.groupBy(*group, "n").agg(*[F.min(F.when(F.col("_upto") > p, F.col("_v"))).alias(name) for name, p in places.items()])
 
 
 def medians(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
     """group and ``median``, the mean of the lower and the upper median, read off ranges (see :func:`value_at_rank`)."""
-    low = value_at_rank(df, value, lower_median(), group, name="_low", continuous=True).drop("n")
-    high = value_at_rank(df, value, upper_median(), group, name="_high", continuous=True).drop("n")
-    names = [F.col(g).alias(f"_h{i}") for i, g in enumerate(group)]
-    same = [F.col(g).eqNullSafe(F.col(f"_h{i}")) for i, g in enumerate(group)]
-    both = low.join(high.select(*names, "_high"), same) if group else low.crossJoin(high)
+    both = values_at_ranks(df, value, {"_low": lower_median(), "_high": upper_median()}, group, continuous=True)
     return both.select(*group, ((F.col("_low") + F.col("_high")) / 2).alias("median"))
 
 
