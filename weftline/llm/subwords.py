@@ -101,7 +101,7 @@ class SubwordModel:
         return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[list[str]], labels: np.ndarray, classes: int, *, bits: int = 16, dim: int = 16, epochs: int = 10, rate: float = 0.06, batch: int = 256, seed: int = 3) -> SubwordModel:
+def train(texts: list[list[str]], labels: np.ndarray, classes: int, *, bits: int = 16, dim: int = 16, epochs: int = 6, rate: float = 0.06, batch: int = 256, seed: int = 3) -> SubwordModel:
     """Fit on lists of words. A tenth of the texts is held out to fit the temperature of the probabilities.
 
     After half of the epochs, texts whose label the model finds improbable are left out, since labels are partly wrong.
