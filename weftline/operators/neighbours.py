@@ -55,3 +55,35 @@ def cosine_top_k(queries: DataFrame, corpus: DataFrame, k: int, *, key: str = "v
     best = met.mapInArrow(match, "q bigint, c bigint, s double")
     w = Window.partitionBy("q").orderBy(F.desc("s"), "c")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(key), F.col("c").alias("neighbour"), "rank", F.col("s").alias("similarity"))
+
+
+def nearest_centroid(points: DataFrame, centroids: DataFrame, *, key: str = "vec_id", vector: str = "v", name: str = "guess", digits: int = 9, block: int = 4096) -> DataFrame:
+    """For each point the name of the centroid at the least squared distance (rounded to ``digits``; the least name on a tie): key, name.
+
+    Centroids (name, vector) are one row a class, so as few as the classes of a classifier, and are broadcast. Both are packed into blocks of unboxed numbers; each block of points meets a block of centroids as one
+    matrix product, so pairs of points and centroids never become rows. Points without a vector have no nearest centroid.
+    """
+    kind = dict(points.dtypes)[key]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, block):
+                part = batch.slice(at, block)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(batch.schema.field(0).type)), pa.array([np.array(part.column(1).to_pylist(), np.float64).tobytes()], pa.binary())], ["names", "rows"])
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key_type, name_type = (batch.schema.field(i).type.value_type for i in (0, 2))
+            for keys, points_, names, rows in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                order = np.array(sorted(range(len(names)), key=names.__getitem__))
+                p, m = np.frombuffer(points_).reshape(len(keys), -1), np.frombuffer(rows).reshape(len(names), -1)[order]
+                far = np.round((p * p).sum(1)[:, None] - 2 * p @ m.T + (m * m).sum(1)[None, :], digits)
+                best = far.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(keys, key_type), pa.array([names[order[i]] for i in best], name_type), pa.array(far[np.arange(len(p)), best])], ["k", "c", "d"])
+
+    def packed(df: DataFrame, column: str, values: str) -> DataFrame:
+        rows = df.where(F.col(values).isNotNull()).select(F.col(column), F.col(values).cast("array<double>"))
+        return rows.mapInArrow(pack, f"names array<{dict(df.dtypes)[column]}>, rows binary")
+
+    met = packed(points, key, vector).toDF("keys", "points").crossJoin(F.broadcast(packed(centroids, name, vector))).mapInArrow(match, f"k {kind}, c {dict(centroids.dtypes)[name]}, d double")
+    return met.groupBy("k").agg(F.min_by("c", F.struct("d", "c")).alias(name)).withColumnRenamed("k", key)

@@ -159,8 +159,8 @@ def conj_disj(spark: SparkSession, d: str) -> DataFrame:
     rel = _relations(spark, d)
     ranked = shuffled_rank(rel, "statement", "conj", ["label"], rank="ord")
     n = rel.where("label = 1").agg(F.count(F.lit(1)).alias("c"))
-    quotas = spark.createDataFrame([(a, b, q) for (a, b), q in CONJ_QUOTAS.items()], "a int, b int, n int")
-    draws = quotas.withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).crossJoin(F.broadcast(n))
+    quotas = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(q).alias("n")) for (a, b), q in CONJ_QUOTAS.items()])
+    draws = n.select("c", F.explode(quotas).alias("q")).select("c", "q.*").withColumn("draw", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     k = F.concat_ws("#", "a", "b", "draw")
     placed = draws.withColumn("x", md5_below(k, "conj.1", F.col("c")) + 1).withColumn("y", md5_below(k, "conj.2", F.col("c")) + 1)
     sides = F.explode(F.array(F.struct(F.lit(1).alias("side"), F.col("a").alias("label"), F.col("x").alias("ord")), F.struct(F.lit(2).alias("side"), F.col("b").alias("label"), F.col("y").alias("ord"))))

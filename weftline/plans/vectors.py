@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import vectors
 from weftline.operators import evals, joins
-from weftline.operators.neighbours import cosine_top_k
+from weftline.operators.neighbours import cosine_top_k, nearest_centroid
 from weftline.plans.dialect import key
 from weftline.plans.registry import query
 from weftline.rand import md5_key
@@ -133,12 +133,14 @@ def activation_diff(spark: SparkSession, d: str) -> DataFrame:
     select truth, k.class as class, count(*) as n, count(*) filter (where guess = truth) as correct, round(avg(case when guess = truth then 1.0 else 0.0 end), 6) as accuracy from b left join k on k.label = b.truth where r = 1 group by 1, 2""",
 )
 def probe_centroid(spark: SparkSession, d: str) -> DataFrame:
-    """A linear probe by nearest centroid; labels become indices in sorted order. There is one centroid a label, so the product is small."""
-    x = embeddings(spark, d).select("vec_id", "label", F.posexplode("v").alias("dim", "x"))
-    c = x.where("vec_id % 5 <> 0").groupBy(F.col("label").alias("guess"), "dim").agg(F.avg("x").alias("m"))
-    classes = c.select("guess").distinct().select(F.col("guess").alias("truth"), (F.dense_rank().over(Window.orderBy("guess")) - 1).alias("class"))
-    dist = x.where("vec_id % 5 = 0").withColumnRenamed("label", "truth").join(c, "dim").groupBy("vec_id", "truth", "guess").agg(F.round(F.sum((F.col("x") - F.col("m")) ** 2), 9).alias("dist"))
-    best = dist.groupBy("vec_id", "truth").agg(F.min_by("guess", F.struct("dist", "guess")).alias("guess"))
+    """A linear probe by nearest centroid; labels become indices in sorted order. Points meet the centroids, one a label, in blocks."""
+    e = embeddings(spark, d)
+    x = e.where("vec_id % 5 <> 0").select("label", F.posexplode("v").alias("dim", "x"))
+    means = x.groupBy(F.col("label").alias("guess"), "dim").agg(F.avg("x").alias("m"))
+    c = means.groupBy("guess").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda s: s["m"]).alias("v"))  # one entry a dimension
+    classes = c.select(F.col("guess").alias("truth"), (F.dense_rank().over(Window.orderBy("guess")) - 1).alias("class"))
+    test = e.where("vec_id % 5 = 0")
+    best = nearest_centroid(test, c).join(test.select("vec_id", F.col("label").alias("truth")), "vec_id")
     hit = F.col("guess") == F.col("truth")
     return best.join(classes, "truth", "left").groupBy("truth", "class").agg(F.count(F.lit(1)).alias("n"), F.count_if(hit).alias("correct"), F.round(F.avg(hit.cast("double")), 6).alias("accuracy"))
 
