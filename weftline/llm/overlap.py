@@ -155,9 +155,9 @@ def word_table(df: DataFrame, *, key: str, text: str, split: str) -> DataFrame:
     return materialize(picked.mapInArrow(_word_rows, "id bigint, train boolean, k1 bigint, k2 bigint, words binary"), "prints")
 
 
-def _few(ids: DataFrame) -> DataFrame:
-    """A table of ids that was written before, broadcast if it is small."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def _few(ids: DataFrame, at_most: int) -> DataFrame:
+    """Ids, broadcast if the rows that they come from were counted and are few."""
+    return F.broadcast(ids) if at_most <= BROADCAST_IDS else ids
 
 
 def cross_split_links(df: DataFrame, *, key: str = "sample_id", text: str = "context", split: str = "split", similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -220,9 +220,10 @@ def cross_split_links(df: DataFrame, *, key: str = "sample_id", text: str = "con
     ids = prints.groupBy("k1", "k2", "id").agg(F.max("train").alias("t"), F.max(~F.col("train")).alias("e"), F.count(F.lit(1)).alias("n"))
     classes = ids.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.max("t").alias("in_train"), F.max("e").alias("in_eval"), F.sum("n").alias("n"))
     repeated = materialize(ids.select("k1", "k2", "id").join(classes.where("n > 1"), ["k1", "k2"]).select("id", "rep", "in_train", "in_eval"), "repeated")
-    single = prints.join(_few(repeated.select("id").distinct()), "id", "left_anti").select(F.col("id").alias("rep"), "words", F.col("train").alias("in_train"), (~F.col("train")).alias("in_eval"))
+    copies = repeated.count()  # off the files' own counts
+    single = prints.join(_few(repeated.select("id").distinct(), copies), "id", "left_anti").select(F.col("id").alias("rep"), "words", F.col("train").alias("in_train"), (~F.col("train")).alias("in_eval"))
     several = repeated.where("id = rep").select("rep", "in_train", "in_eval").distinct()
-    first = prints.join(_few(several.select(F.col("rep").alias("id"))), "id", "left_semi").groupBy(F.col("id").alias("rep")).agg(F.first("words").alias("words"))
+    first = prints.join(_few(several.select(F.col("rep").alias("id")), copies), "id", "left_semi").groupBy(F.col("id").alias("rep")).agg(F.first("words").alias("words"))
     texts = single.unionByName(first.join(several, "rep").select("rep", "words", "in_train", "in_eval"))
 
     names = ["code", "rep", "n", *[f"p{k}" for k in range(FINGERPRINT)], "wide"]
@@ -241,7 +242,7 @@ def cross_split_links(df: DataFrame, *, key: str = "sample_id", text: str = "con
         .select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
     )
     candidates = materialize(near, "candidates")
-    needed = prints.join(_few(materialize(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "needed")), "id", "left_semi")
+    needed = prints.join(_few(candidates.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 2 * candidates.count()), "id", "left_semi")
     held = needed.groupBy("id").agg(F.first("words").alias("words"))
 
     @F.pandas_udf("double")
