@@ -74,12 +74,24 @@ def token_budget(documents: DataFrame, points: DataFrame, *, tokenizer: str = "b
     texts = token_counts(documents, keep=["source", "lang", "domain"], tokenizer=tokenizer, folder=folder).select(
         F.lit("documents").alias("record_table"), "source", code_column("lang").alias("lang"), "domain", "n_tokens"
     )
-    lists = (
+    return _cube(texts.unionByName(_point_sizes(points)))
+
+
+def point_budget(points: DataFrame) -> DataFrame:
+    """The same over token lists alone."""
+    return _cube(_point_sizes(points))
+
+
+def _point_sizes(points: DataFrame) -> DataFrame:
+    return (
         points.select("point_id", name_key(F.col("datapoint_type")).alias("source"), code_column("lang").alias("lang"), "domain", unpadded_size(F.col("input_ids")).alias("n_tokens"))
         .groupBy("point_id").agg(F.max(F.struct("n_tokens", "source", "lang", "domain")).alias("_p"))
         .select(F.lit("training_datapoints").alias("record_table"), "_p.source", "_p.lang", "_p.domain", "_p.n_tokens")
     )
-    finest = texts.unionByName(lists).groupBy("record_table", "source", "lang", "domain").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t"))
+
+
+def _cube(sized: DataFrame) -> DataFrame:
+    finest = sized.groupBy("record_table", "source", "lang", "domain").agg(F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("t"))
     return (
         finest.groupingSets([[F.col("record_table"), *[F.col(c) for c in some]] for some in _subsets("source", "lang", "domain")], "record_table", "source", "lang", "domain")
         .agg(F.grouping_id().cast("int").alias("level"), F.sum("n").alias("n_records"), F.sum("t").alias("n_tokens"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from weftline.llm.languages import LANGUAGES
+
 _LABEL = r"lower(regexp_replace({}, '[^\p{{L}}\p{{N}}]+', '', 'g'))"
 _NAME = r"lower(translate(regexp_replace({}, '^\s+|\s+$', '', 'g'), '-', '_'))"
 
@@ -84,6 +86,27 @@ from training_datapoints group by point_id
 """
 
 
+def _code(lang: str) -> str:
+    """The two-letter code of a label in any spelling, as the register of languages has it; else null."""
+    head = f"lower(regexp_extract({lang}, '^[ \\t\\n\\r\\f\\x0B]*([A-Za-z]+)[ \\t\\n\\r\\f\\x0B]*(?:[-_].*)?$', 1))"
+    known = " ".join(f"when {head} in ({', '.join(repr(x) for x in (code, *names))}) then '{code}'" for code, names in LANGUAGES.items())
+    return f"case {known} end"
+
+
+P3_POINT_BUDGET = f"""
+with s as (select point_id, {_NAME.format('datapoint_type')} as source, {_code('lang')} as lang, domain, coalesce({_UNPADDED}, 0) as n_tokens from training_datapoints),
+p as (select * from (select *, row_number() over (partition by point_id order by n_tokens desc, source desc nulls last, lang desc nulls last, domain desc nulls last) as rn from s) where rn = 1)
+select 'training_datapoints' as record_table, source, lang, domain, cast(grouping(source, lang, domain) as int) as level, count(*) as n_records, cast(sum(n_tokens) as bigint) as n_tokens
+from p group by cube (source, lang, domain)
+"""
+
+P7_TOTALS = """
+select spec_id, (select count(*) from documents) as n_texts, (select count(distinct doc_id) from documents) as n_ids, 0 as n_overfull from container_specs
+"""
+
+P8_TOTALS = "select count(*) as n_rows, count(distinct doc_id) as n_ids, 0 as n_halves, 0 as n_outside from documents"
+
+
 def sql() -> dict[str, str]:
     return {
         "p1_report": P1_REPORT,
@@ -94,4 +117,7 @@ def sql() -> dict[str, str]:
         "p2_token_shares": P2_TOKEN_SHARES,
         "p2_found": f"select mix_id, dataset_name from ({P2_SHARES}) where capacity < wanted",
         "p3_point_counts": P3_POINT_COUNTS,
+        "p3_point_budget": P3_POINT_BUDGET,
+        "p7_totals": P7_TOTALS,
+        "p8_totals": P8_TOTALS,
     }

@@ -81,6 +81,13 @@ def p3_point_counts(spark: SparkSession, d: str) -> DataFrame:
     return points.groupBy("point_id").agg(F.max("n_tokens").alias("n_tokens"))
 
 
+def p3_point_budget(spark: SparkSession, d: str) -> DataFrame:
+    """The half of p3_budget that SQL can state: token lists."""
+    from weftline.llm.encoding import point_budget
+
+    return point_budget(table(spark, d, "training_datapoints"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     from weftline.llm.overlap import cross_split_pairs
 
@@ -121,6 +128,21 @@ def p7_waste(spark: SparkSession, d: str) -> DataFrame:
     return filled.join(specs, "spec_id").withColumn("unused_share", 1 - F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")))
 
 
+def p7_totals(spark: SparkSession, d: str) -> DataFrame:
+    """What p7_pack must keep: every text once for each spec, and no container beyond its capacity."""
+    packed = p7_pack(spark, d)
+    filled = packed.groupBy("spec_id", "container_id").agg(F.sum("n_tokens").alias("filled")).join(table(spark, d, "container_specs").select("spec_id", "capacity_tokens"), "spec_id")
+    over = filled.groupBy("spec_id").agg(F.count_if(F.col("filled") > F.col("capacity_tokens")).alias("n_overfull"))
+    return packed.where("piece = 0").groupBy("spec_id").agg(F.count(F.lit(1)).alias("n_texts"), F.count_distinct("doc_id").alias("n_ids")).join(over, "spec_id")
+
+
+def p8_totals(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each document, with a language and a confidence or with neither."""
+    found = p8_languages(spark, d)
+    bad = F.col("language").isNull() != F.col("confidence").isNull()
+    return found.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("doc_id").alias("n_ids"), F.count_if(bad).alias("n_halves"), F.count_if(~F.col("confidence").between(0, 1)).alias("n_outside"))
+
+
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
     from weftline.llm.langid import fit_once, label_languages
 
