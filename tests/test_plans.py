@@ -36,7 +36,7 @@ def test_filters_reach_the_scan(name, filtered, spark, data):
 
 PYTHON = {
     "q50_cosine_topk", "q57_hard_negatives", "q75_request_cache", "q95_stream_pack", "q97_stream_mix", "q109_stream_sessions", "q110_sliding_windows", "q116_inactive_neighbours", "q117_softmax_probe", "q125_ordered_responses",
-    "q56_probe_centroid", "q127_reader_shapes", "q128_writer_shapes",
+    "q56_probe_centroid", "q129_sentence_table", "q127_reader_shapes", "q128_writer_shapes",
 }
 
 

@@ -12,7 +12,7 @@ from weftline.operators import cache, joins, probes, sampling
 from weftline.operators.neighbours import cosine_top_k
 from weftline.plans.dialect import below, key, tokens as sql_tokens
 from weftline.plans.registry import query
-from weftline.plans.statements import _sql_list
+from weftline.plans.statements import YES_NO, _sql_list
 from weftline.plans.vectors import _DOT, _NORM, _V, embeddings
 from weftline.rand import md5_below
 from weftline.sources.readers import image_paths
@@ -155,8 +155,6 @@ def softmax_probe(spark: SparkSession, d: str) -> DataFrame:
 ENTAILS = {"entailment": "Yes", "contradiction": "No"}
 LAYERS = [25, 50, 75]
 IMAGE_PARAPHRASES = ["Does the picture show this?", "Is this true of the image?", "Would the image bear this out?", "Can this be seen?"]
-#: Fixed value: the instruction before a question that is answered with one word.
-YES_NO = "Answer with 'Yes' or 'No' only."
 
 
 @query(

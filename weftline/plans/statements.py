@@ -15,6 +15,9 @@ from weftline.rand import md5_below, md5_int
 from weftline.ranks import shuffled_rank
 from weftline.storage import table
 
+#: Fixed value: the instruction before a question that is answered with one word.
+YES_NO = "Answer with 'Yes' or 'No' only."
+
 PARAPHRASES = ["Is this text written in {}?", "Would you say that the language is {}?", "Does the writer use {}?"]
 
 
@@ -68,7 +71,7 @@ def binary_label_qa(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "context_qa_samples").where("context is not null and size(questions) = size(answers)").select("sample_id", "questions", "answers").distinct()
     flat = rows.select("sample_id", F.posexplode(F.arrays_zip("questions", "answers")).alias("question_no", "z")).where("z.questions is not null and z.answers is not null")
     truthy = F.lower(F.trim("z.answers")).isin("1", "true", "yes")
-    text = F.concat(F.lit("Answer with 'Yes' or 'No' only. "), F.regexp_replace("z.questions", "^# ", ""))
+    text = F.concat(F.lit(f"{YES_NO} "), F.regexp_replace("z.questions", "^# ", ""))
     return flat.select("sample_id", F.col("question_no").cast("bigint").alias("question_no"), text.alias("question"), F.when(truthy, "Yes").otherwise("No").alias("answer"))
 
 

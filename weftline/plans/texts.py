@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions import udtf
 from weftline.functions import sequences as seq
 from weftline.functions import text
 from weftline.operators import cache, joins
@@ -223,3 +226,19 @@ def token_activations(spark: SparkSession, d: str) -> DataFrame:
     shown = docs.withColumn("a", act).select("doc_id", seq.token_activations(F.col("a")).alias("rendered"), F.transform("a", lambda v: F.concat(v["s"], F.format_string(" (%.2f)", F.coalesce(v["act"], F.lit(0.0))))).alias("x"))
     return shown.select("doc_id", "rendered", text.numbered(F.col("x")).alias("listed"))
 
+
+@query(
+    "q129_sentence_table",
+    r"""
+    with d as (select doc_id, string_split(regexp_replace(text, '([.!?])[ \t\n]+', '\1' || chr(57344), 'g'), chr(57344)) as parts from documents where text is not null),
+    s as (select doc_id, list_filter(parts, lambda p: regexp_matches(p, '[^ \t\n]')) as parts from d)
+    select doc_id, cast(len(parts) as bigint) as n_sentences, cast(list_sum(list_transform(parts, lambda p: length(p))) as bigint) as n_chars, md5(parts[1]) as first from s where len(parts) > 0""",
+)
+def sentence_table(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences with their places by a table function in SQL."""
+    udtf.register(spark)
+    view = f"sentences_of_{uuid.uuid4().hex}"
+    table(spark, d, "documents").select("doc_id", "text").createOrReplaceTempView(view)
+    rows = spark.sql(f"select doc_id, s.* from {view}, lateral sentences(text) as s")
+    cut = F.col("end_pos") - F.col("begin_pos")
+    return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sentences"), F.sum(cut).alias("n_chars"), F.md5(F.min_by("sentence", "sentence_no")).alias("first"))
