@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.plans.corpus import PACK_BLOCK, PACK_CHARS
+from weftline.plans.dialect import below
 from weftline.plans.registry import SQL, query
 from weftline.sources import readers, writers
 from weftline.storage import step_folder, table
@@ -91,17 +92,21 @@ def sliding_windows(spark: SparkSession, d: str) -> DataFrame:
     return counted.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+LANES = 8
+
+
 @query(
     "q97_stream_mix",
-    """
-    with a as (select c_custkey as id, row_number() over (order by c_custkey) - 1 as r from customer), b as (select s_suppkey as id, row_number() over (order by s_suppkey) - 1 as r from supplier)
-    select id, 'left' as source, (r // 3) * 4 + r % 3 as pos from a union all select id, 'right', r * 4 + 3 from b""",
+    f"""
+    with u as (select c_custkey as id, 'left' as source from customer union all select s_suppkey, 'right' from supplier),
+    l as (select *, {below('id', 'lane', str(LANES))} as lane from u), o as (select *, row_number() over (partition by source, lane order by id) - 1 as r from l)
+    select id, source, (case when source = 'left' then (r // 3) * 4 + r % 3 else r * 4 + 3 end) * {LANES} + lane as pos from o""",
 )
 def stream_mix(spark: SparkSession, d: str) -> DataFrame:
-    """Two streams at 3 to 1, each counted in state."""
+    """Two streams at 3 to 1, each counted in state by lanes."""
     a = jobs.table_stream(spark, d, "customer").select(F.col("c_custkey").alias("id"))
     b = jobs.table_stream(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
-    return jobs.drain(jobs.mixed_stream(a, b, "id", 3, 1), "mixed")
+    return jobs.drain(jobs.mixed_stream(a, b, "id", 3, 1, lanes=LANES), "mixed")
 
 
 @query("q98_metrics_log", "select cast(user_id as bigint) as user_id, event_type, round(sum(value), 4) as total, cast(user_id % 3 as int) as step from events group by 1, 2, 4")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from weftline.rand import md5_below
 from weftline.storage import step_folder
 
 
@@ -69,9 +70,13 @@ def packed_stream(stream: DataFrame, group: list[str], key: str, size: str, leas
     return stream.select(*group, key, size).groupBy(*group).applyInPandasWithState(step, out, "filled bigint, pack int", "append", GroupStateTimeout.NoTimeout)
 
 
-def mixed_stream(left: DataFrame, right: DataFrame, key: str, n: int, m: int) -> DataFrame:
-    """Two streams at a ratio of n to m: each row gets its place in the round by a running count of its side."""
+def mixed_stream(left: DataFrame, right: DataFrame, key: str, n: int, m: int, *, lanes: int = 1) -> DataFrame:
+    """Two streams at a ratio of n to m: each row gets its place in the round by a running count of its side.
+
+    Rows are dealt to ``lanes`` by a hash of their key; each lane keeps its own counts, so as many tasks share a side, and the lanes' places alternate.
+    """
     both = left.select(F.col(key), F.lit("left").alias("source")).unionByName(right.select(F.col(key), F.lit("right").alias("source")))
+    dealt = both.withColumn("_lane", md5_below(key, "lane", lanes).cast("int"))
     kind = dict(both.dtypes)[key]
 
     def step(keys: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -80,9 +85,9 @@ def mixed_stream(left: DataFrame, right: DataFrame, key: str, n: int, m: int) ->
         at = pd.Series(range(seen, seen + len(rows)))
         take, shift = (n, 0) if keys[0] == "left" else (m, n)
         state.update((seen + len(rows),))
-        yield pd.DataFrame({key: rows[key].to_numpy(), "source": keys[0], "pos": (at // take) * (n + m) + shift + at % take})
+        yield pd.DataFrame({key: rows[key].to_numpy(), "source": keys[0], "pos": ((at // take) * (n + m) + shift + at % take) * lanes + int(keys[1])})
 
-    return both.groupBy("source").applyInPandasWithState(step, f"{key} {kind}, source string, pos bigint", "seen bigint", "append", GroupStateTimeout.NoTimeout)
+    return dealt.groupBy("source", "_lane").applyInPandasWithState(step, f"{key} {kind}, source string, pos bigint", "seen bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def window_counts(stream: DataFrame, time: str, kind: str, value: str, *, width: str = "1 day", every: str | None = None, late: str = "2 days") -> DataFrame:
