@@ -157,3 +157,42 @@ def test_very_long_words_and_texts():
     assert pairs.judge([], [], model) == []
     assert pairs.TerminalModel().fit([]).breaks_off("It stops in the", "en")
     assert time.time() - began < 60
+
+
+def test_model_counts_every_answer(spark):
+    """60,000 answers, and phrases that go on in three of them only: answers that stop in one break off, each of them."""
+    from pyspark.sql import functions as F
+
+    pairs_of = [(a, n) for a in ("kind", "grey", "tall", "loud", "poor", "odd") for n in ("guest", "harbour", "model", "river", "tutor", "window")]
+    words = F.array(*[F.lit(w) for pair in pairs_of[::7] for w in pair])
+    rest = spark.range(60_000).select("id", F.concat(F.lit("Row "), "id", F.lit(" is "), F.element_at(words, (F.col("id") % 12 + 1).cast("int")), F.lit(".")).alias("answer"))
+    rows = [(100_000 + 10 * i + k, f"They saw {a} {n} by day {k}.") for i, (a, n) in enumerate(pairs_of) for k in range(3)]
+    cut = [(200_000 + i, f"She met {a} {n}") for i, (a, n) in enumerate(pairs_of)]
+    df = rest.union(spark.createDataFrame(rows + cut, "id bigint, answer string"))
+    df = df.select(F.lit("t").alias("record_table"), F.col("id").alias("record_id"), F.lit(0).alias("pair_no"), F.lit(None).cast("string").alias("question"), "answer")
+    assert sorted((r["record_id"], r["defect"]) for r in pairs.defective_pairs(df).collect()) == [(i, "truncated") for i, _ in cut]
+
+
+def test_tables_of_counts_are_one_model(spark, data):
+    """The result is that of one model fitted on all answers, equal ones once; so a table repeated under other keys changes nothing."""
+    from pyspark.sql import functions as F
+
+    from weftline.llm.queries import table
+
+    df = pairs.pairs_of_results(table(spark, data, "verbalizer_results")).union(pairs.pairs_of_dialogs(table(spark, data, "latentqa_datapoints")))
+    df = df.select(F.lit("t").alias("record_table"), "record_id", "pair_no", "question", F.regexp_replace("answer", r"(\w{1,6}\W*)$", "").alias("answer"))
+    rows = df.distinct().collect()
+    model = pairs.TerminalModel().fit(list({r["answer"] for r in rows if r["answer"] is not None}))
+    found = pairs.judge([r["question"] for r in rows], [r["answer"] for r in rows], model)
+    want = {(*r[:3], f) for r, f in zip(rows, found, strict=True) if f}
+    assert {tuple(r) for r in pairs.defective_pairs(df).collect()} == want
+    assert sum(f == "truncated" for f in found) > 30
+    copies = [df.withColumn("record_id", F.col("record_id") + k * 10**9) for k in range(3)]
+    got = [tuple(r) for r in pairs.defective_pairs(copies[0].union(copies[1]).union(copies[2])).collect()]
+    assert len(got) == len(set(got)) == 3 * len(want)
+    assert {(t, i % 10**9, n, f) for t, i, n, f in got} == want
+
+
+@pytest.mark.parametrize(("answer", "defect"), [("他住在镇上已经很多年了，因为", "truncated"), ("我们比较了两个模型，但是", "truncated"), ("因为", None), ("我们比较了两个模型，就是因为这个", None)])
+def test_chinese_clauses_of_a_conjunction(answer, defect, model):
+    assert pairs.defect_of("", answer, model) == defect

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator, Sequence
@@ -15,14 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.wordlists import FUNCTION_WORDS, LANGUAGE_NAMES, NEVER_LAST, REFUSALS, STAND_INS
-from weftline.rand import fast_unit
+from weftline.storage import materialize
 
-#: Answers on which the terminal-context model is fitted, at most.
-FIT_ANSWERS = 40_000
-
-#: A word in lower case is known to the terminal-context model if at least the first share of the answers
-#: holds it, one with a capital at the start of a sentence with the second; others are masked.
-KNOWN_SHARES = (0.0008, 0.003)
+#: A word is known to the terminal-context model if at least so many answers hold it, and at least this share of them:
+#: a word in lower case, one with a capital at the start of a sentence, one with other letters than ASCII. Others are masked.
+KNOWN = ((12, 0.0008), (30, 0.003), (6, 0.00015))
 
 #: A context of at least two words is evidence from so many occurrences on; a text that stops in it breaks off if fewer than this share of them end a
 #: sentence. For a context that stops in a masked word, the second pair holds.
@@ -31,9 +29,15 @@ SEEN, ENDING, SEEN_MASKED, ENDING_MASKED = 3, 0.4, 30, 0.02
 #: A word is one, and no piece of one, if texts go on after it so many times.
 OFTEN = 5
 
+#: If more texts than the first number go on to longer words there, and the word itself stands there in at most this share of them, it is a piece.
+LONGER, OWN = 20, 0.05
+
 #: Longer runs of letters are no words of which an answer could hold a piece.
 LONGEST_WORD = 40
 
+#: Bits of the filter that keeps counts which no answer asks for out of the shuffle.
+FILTER_BITS = 26
+
 #: An answer that compresses to less than this share of its length, given its question, may be a copy.
 COPY_RATIO = 0.6
 
@@ -166,21 +170,129 @@ _STRANDED = re.compile(r"\b(?:what|whom|where|how)\b[^.!?]* (?:of|for|with|from|
 #: The last clause of a Chinese text ends with a particle in a construction that may do so.
 _DE_CLAUSE = re.compile(r"(?:是(?!因为)|会|挺|真)[^，。；！？]*的$")
 _MASKED = frozenset(("<s>", "N", "R", "U", "9"))
+#: Letters of a last word by which counts of words are filtered.
+_START = 3
+
+
+def _neighbour(t: str) -> str:
+    return "9" if t[0].isdigit() else "N" if t[0].isupper() else t
+
+
+@functools.lru_cache(maxsize=1 << 18)
+def _shape_hash(shape: str) -> int:
+    return int.from_bytes(hashlib.blake2b(shape.encode(), digest_size=8).digest(), "little")
+
+
+def _follow_hashes(before: Sequence[str], starts: Sequence[str]) -> np.ndarray:
+    b, w = (pd.util.hash_array(np.array(x, object)) for x in (before, starts))
+    return b * np.uint64(_STEP) + w
+
+
+class _Wanted:
+    """The counts that answers ask for, a few others with them."""
+
+    def __init__(self, places: np.ndarray, bits: np.ndarray) -> None:
+        self.bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+        self.bits[places] = bits
+
+    @staticmethod
+    def bit(hashes: np.ndarray) -> np.ndarray:
+        return hashes >> np.uint64(64 - FILTER_BITS)
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        bit = self.bit(hashes)
+        return (self.bits[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1) > 0
+
+
+class _Read:
+    """Texts as one row of tokens, codes into ``unique``; those in capitals only are left out."""
+
+    def __init__(self, texts: Sequence[str]) -> None:
+        lists = [x for x in [_TOKEN.findall(_INVISIBLE.sub("", a)) for a in texts if not a.isupper()] if x]
+        self.sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+        self.codes, self.unique = pd.factorize(np.array([t for x in lists for t in x], object))
+        self.owner = np.repeat(np.arange(len(lists)), self.sizes)
+        self.stop = np.array([_STOP.match(w) is not None for w in self.unique], bool)
+        # the row with a mark (-1) before each text and after the last; a full stop is a mark as well
+        places = np.arange(len(self.codes)) + self.owner + 1
+        self.raw = np.full(len(self.codes) + len(lists) + 1, -1)
+        self.raw[places] = self.codes
+        self.mark = self.raw < 0
+        self.mark[places] = self.stop[self.codes]
+        place = np.arange(len(self.raw))
+        self.depth = place - np.maximum.accumulate(np.where(self.mark, place, 0))  # tokens since the mark
+
+    def words(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each of ``unique`` the texts that hold it and how often a text goes on after it."""
+        codes, n = self.codes, len(self.unique)
+        if not n:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = np.bincount(np.unique(self.owner * n + codes) % n, minlength=n)
+        sign = np.array([not w[0].isalnum() for w in self.unique])
+        ahead = np.where(sign[codes], len(codes), np.arange(len(codes)))[::-1]
+        final = np.minimum.accumulate(ahead)[::-1] > np.repeat(np.cumsum(self.sizes) - 1, self.sizes)  # nothing but signs from here to the end
+        last = np.bincount(codes[np.append(final[1:], True) & ~final], minlength=n)
+        return held, np.bincount(codes, minlength=n) - last
+
+    def follows(self, wanted: _Wanted | None = None) -> tuple[list[str], list[str], np.ndarray]:
+        """Words, what stands before them in their sentence, and how often."""
+        n = len(self.unique)
+        lower = np.array([w.lower() for w in self.unique], object)
+        word = np.array([w.isalpha() and len(w) <= LONGEST_WORD for w in lower], bool)
+        places = np.flatnonzero(self.depth > 1)
+        places = places[word[self.raw[places]]]
+        pairs, times = np.unique(self.raw[places - 1] * n + self.raw[places], return_counts=True)
+        if not len(pairs):
+            return [], [], times
+        first, second = pairs // n, pairs % n
+        before = np.array([_neighbour(w) for w in self.unique], object)
+        if wanted:
+            hashes = pd.util.hash_array(before) * np.uint64(_STEP)
+            keep = np.zeros(len(pairs), bool)
+            for k in range(1, _START + 1):
+                keep |= wanted.has(hashes[first] + pd.util.hash_array(np.array([w[:k] for w in lower], object))[second])
+            first, second, times = first[keep], second[keep], times[keep]
+        return before[first].tolist(), lower[second].tolist(), times
+
+    def contexts(self, known: frozenset[str], wanted: _Wanted | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Keys of the contexts of 2 to 5 tokens, their occurrences and those that end a sentence."""
+        model = TerminalModel(known)
+        row = np.full(len(self.raw), _shape_hash("<s>"), np.uint64)
+        if len(self.unique):
+            at_first, inside = (np.array([_shape_hash(model._shape(w, first)) for w in self.unique], np.uint64) for first in (True, False))
+            row = np.where(self.mark, row, np.where(self.depth == 1, at_first[self.raw], inside[self.raw]))
+        ends, h = np.append(self.mark[1:], True), row
+        out = [(np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        with np.errstate(over="ignore"):
+            for k in (2, 3, 4, 5):
+                h = np.concatenate((np.zeros(1, np.uint64), h[:-1])) * np.uint64(_STEP) + row
+                at = np.flatnonzero((self.depth >= k - 1) & ~self.mark)
+                keys = h[at] ^ np.uint64(k)
+                if wanted:
+                    keep = wanted.has(keys)
+                    at, keys = at[keep], keys[keep]
+                keys, back, seen = np.unique(keys, return_inverse=True, return_counts=True)
+                out.append((keys, seen, np.bincount(back, weights=ends[at], minlength=len(keys)).astype(np.int64)))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _known_kind(word: str) -> int:
+    return 2 if not word.isascii() else int(word[0].isupper())
 
 
 class TerminalModel:
     """Where texts end: counts of how often a context of 2 to 5 tokens ends a sentence and how often it goes on.
 
-    Rare words are masked by their shape, so the contexts are those of sentence patterns.
+    Rare words are masked by their shape, so the contexts are those of sentence patterns. :func:`defective_pairs` keeps
+    the counts in tables and ``known`` only in the model.
     """
 
-    def __init__(self) -> None:
-        self.known: frozenset[str] = frozenset()
+    def __init__(self, known: frozenset[str] = frozenset()) -> None:
+        self.known = known
         self.words: frozenset[str] = frozenset()  # words that texts go on after
         self.follows: dict[tuple[str, str], int] = {}  # how often a word follows another
         self.pieces: dict[tuple[str, str], int] = {}  # how often a word of which this is a proper beginning follows another
-        self.ids: dict[str, int] = {}
-        self.seen: dict[int, tuple[int, int]] = {}  # hash of a context: occurrences, those that end a sentence
+        self.seen: dict[int, tuple[int, int]] = {}  # key of a context: occurrences, those that end a sentence
 
     def _shape(self, t: str, first: bool) -> str:
         if t[0].isdigit():
@@ -189,16 +301,6 @@ class TerminalModel:
             return t.lower()
         return "N" if t[0].isupper() else "R" if t.isascii() else "U"
 
-    @staticmethod
-    def _neighbour(t: str) -> str:
-        return "9" if t[0].isdigit() else "N" if t[0].isupper() else t
-
-    def _is_piece(self, before: str, word: str) -> bool:
-        """Whether other words that begin with ``word`` stand here in other texts, and it does hardly ever, or isn't a word that texts go on after."""
-        at = (self._neighbour(before), word)
-        longer, own = self.pieces.get(at, 0), self.follows.get(at, 0)
-        return (longer > 0 and word not in self.words) or (longer >= 20 and own <= 0.05 * longer)
-
     def masked(self, text: str) -> list[str]:
         """The last sentence of a text, after a mark of its start."""
         out = ["<s>"]
@@ -209,75 +311,53 @@ class TerminalModel:
                 out.append(self._shape(t, len(out) == 1))
         return out
 
-    def count(self, context: Sequence[str]) -> tuple[int, int]:
+    @staticmethod
+    def key(context: Sequence[str]) -> int:
         h = 0
         for t in context:
-            h = (h * _STEP + self.ids.get(t, 0)) & _MASK
-        return self.seen.get(h ^ len(context), (0, 0))
+            h = (h * _STEP + _shape_hash(t)) & _MASK
+        return h ^ len(context)
 
     def fit(self, answers: list[str]) -> TerminalModel:
-        lists = [_TOKEN.findall(_INVISIBLE.sub("", a)) for a in answers if not a.isupper()]
-        lists = [x for x in lists if x]
-        if not lists:
-            return self
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        codes, unique = pd.factorize(np.array([t for x in lists for t in x], object))
-        owner, n = np.repeat(np.arange(len(lists)), sizes), len(unique)
-        counted = np.bincount(np.unique(owner * n + codes) % n, minlength=n)
-        sign = np.array([not w[0].isalnum() for w in unique])
-        place = np.arange(len(codes))
-        ahead = np.where(sign[codes], len(codes), place)[::-1]
-        final = np.minimum.accumulate(ahead)[::-1] > np.repeat(np.cumsum(sizes) - 1, sizes)  # nothing but signs from here to the end
-        last = np.bincount(codes[np.append(final[1:], True) & ~final], minlength=n)
-        every = np.bincount(codes, minlength=n)
-        lower, upper = (max(floor, share * len(answers)) for floor, share in zip((12, 30), KNOWN_SHARES, strict=True))
-        self.known = frozenset(w for w, c in zip(unique, counted, strict=True) if c >= ((upper if w[0].isupper() else lower) if w.isascii() else 6))
-        self.words = frozenset(w.lower() for w, n in zip(unique, every - last, strict=True) if n >= OFTEN)
-        # one row of numbers: a mark (0) before each sentence, then its tokens, a word with a capital known at the start only
-        shapes = [(self._shape(w, True), self._shape(w, False)) for w in unique]
-        self.ids = {t: i + 1 for i, t in enumerate(sorted({t for pair in shapes for t in pair} | {"<s>"}))}
-        stop = np.array([_STOP.match(w) is not None for w in unique])
-        mark = self.ids["<s>"]
-        at_first, inside = (np.where(stop, mark, [self.ids[pair[k]] for pair in shapes]) for k in (0, 1))
-        places = np.arange(len(codes)) + owner + 1  # a mark before each text
-        row, raw = np.full(len(codes) + len(lists) + 1, mark), np.full(len(codes) + len(lists) + 1, -1)
-        raw[places] = codes
-        row[places] = inside[codes]
-        begins = np.flatnonzero((row[:-1] == mark) & (row[1:] != mark)) + 1
-        row[begins] = at_first[raw[begins]]
-        place, start = np.arange(len(row)), np.where(row == mark, np.arange(len(row)), 0)
-        depth = place - np.maximum.accumulate(start)  # tokens since the mark
-        ends = np.append(row[1:] == mark, True)
-        places = np.flatnonzero(depth > 1)
-        before = np.array([self._neighbour(w) for w in unique], object)
-        pairs, times = np.unique(raw[places - 1] * n + raw[places], return_counts=True)
-        for pair, c in zip(pairs.tolist(), times.tolist(), strict=True):
-            word = unique[pair % n].lower()
-            if word.isalpha() and len(word) <= LONGEST_WORD:
-                at = (before[pair // n], word)
-                self.follows[at] = self.follows.get(at, 0) + c
+        read = _Read(answers)
+        held, after = read.words()
+        least = [max(floor, share * len(answers)) for floor, share in KNOWN]
+        self.known = frozenset(w for w, c in zip(read.unique, held, strict=True) if c >= least[_known_kind(w)])
+        self.words = frozenset(w.lower() for w, c in zip(read.unique, after, strict=True) if c >= OFTEN)
+        before, words, times = read.follows()
+        for at, c in zip(zip(before, words, strict=True), times.tolist(), strict=True):
+            self.follows[at] = self.follows.get(at, 0) + c
         self.follows = {at: c for at, c in self.follows.items() if c >= SEEN}
         for (neighbour, word), c in self.follows.items():
             for k in range(1, len(word)):
                 at = (neighbour, word[:k])
                 self.pieces[at] = self.pieces.get(at, 0) + c
-        row64, h = row.astype(np.uint64), row.astype(np.uint64)
-        with np.errstate(over="ignore"):
-            for k in (2, 3, 4, 5):
-                h = np.concatenate((np.zeros(1, np.uint64), h[:-1])) * np.uint64(_STEP) + row64
-                ok = (depth >= k - 1) & (row != mark)
-                contexts, back, seen = np.unique(h[ok] ^ np.uint64(k), return_inverse=True, return_counts=True)
-                ended = np.bincount(back, weights=ends[ok], minlength=len(contexts)).astype(np.int64)
-                often = seen >= SEEN
-                self.seen.update(zip(contexts[often].tolist(), zip(seen[often].tolist(), ended[often].tolist(), strict=True), strict=True))
+        keys, seen, ended = read.contexts(self.known)
+        often = seen >= SEEN
+        self.seen = dict(zip(keys[often].tolist(), zip(seen[often].tolist(), ended[often].tolist(), strict=True), strict=True))
         return self
 
-    def breaks_off(self, text: str, lang: str | None = None) -> bool:
-        """Whether a text stops in mid-sentence. Texts that end with a full stop, single words and lists of short items don't.
+    def _found(self, before: str, word: str, keys: Sequence[int], masked: bool) -> bool:
+        longer, own = self.pieces.get((before, word), 0), self.follows.get((before, word), 0)
+        if (longer > 0 and word not in self.words) or (longer >= LONGER and own <= OWN * longer):
+            return True
+        least, ending = (SEEN_MASKED, ENDING_MASKED) if masked else (SEEN, ENDING)
+        seen, ended = next((x for x in (self.seen.get(k, (0, 0)) for k in keys) if x[0] >= least), (0, 0))
+        return ended < ending * seen
 
-        In this order: a text breaks off that ends with a comma, a dash or an open bracket, with a word or phrase with which no
-        sentence of the language ends, or with a piece of a word that goes on at this place in other texts; then the longest
-        context that was seen often enough decides; where none was, the text is sound.
+    def breaks_off(self, text: str, lang: str | None = None) -> bool:
+        """Whether a text stops in mid-sentence; what :meth:`asks` leaves open is looked up."""
+        asked = self.asks(text, lang)
+        return asked if isinstance(asked, bool) else self._found(*asked)
+
+    def asks(self, text: str, lang: str | None = None) -> bool | tuple[str, str, list[int], bool]:
+        """Whether a text stops in mid-sentence, or what must be looked up for that: its last word and what stands before it (blank if
+        the word can't be a piece), the keys of its contexts, longest first, and whether they stop in a masked word.
+
+        Texts that end with a full stop, single words and lists of short items don't break off. In this order: a text breaks off that
+        ends with a comma, a dash or an open bracket, with a word or phrase with which no sentence of the language ends, or with a
+        piece of a word that goes on at this place in other texts (other words that begin with it stand here, and it does hardly ever, or
+        isn't a word that texts go on after); then the longest context that was seen often enough decides; where none was, the text is sound.
         """
         if _ENDED.search(text):
             return False
@@ -285,7 +365,7 @@ class TerminalModel:
         if _DANGLING.search(text) or text.count("(") > text.count(")") or text.count("（") > text.count("）"):
             return True
         final = _LAST_WORDS.search(text.casefold())
-        if final and len(text.split()) > 2 and not _NEVER_LAST.get(lang, frozenset()).isdisjoint((final[2], final[0])):
+        if final and (len(text.split()) > 2 or (lang == "zh" and final.start())) and not _NEVER_LAST.get(lang, frozenset()).isdisjoint((final[2], final[0])):
             return True
         items = [i.split() for i in re.split(r"[,;\n、]|\band\b", text)]
         if len(items) > 1 and all(0 < len(i) <= 2 for i in items):
@@ -296,24 +376,16 @@ class TerminalModel:
         if len(tokens) <= 2 or not {*tokens} - {"<s>", "N", "9", "-"}:
             return False  # nothing after a full stop, a single word, a name or a number
         *_, before, word = [""] * 2 + _TOKEN.findall(_INVISIBLE.sub("", text[-200:]))
-        if len(tokens) > 3 and before and word.isalpha() and self._is_piece(before, word.lower()):
-            return True
         if lang == "zh" and len(text) > 12 and text.endswith("的") and not _DE_CLAUSE.search(text[-400:]):
             return True
-        if lang == "en" and _STRANDED.search(text[-400:]):
-            return False
-        for k in (5, 4, 3, 2):
-            if len(tokens) < k:
-                continue
-            context = tokens[-k:]
-            if sum(t not in _MASKED for t in context) < 2:
-                continue
-            seen, ended = self.count(context)
-            if tokens[-1] not in _MASKED and seen >= SEEN:
-                return ended < ENDING * seen
-            if tokens[-1] in _MASKED and seen >= SEEN_MASKED:
-                return ended < ENDING_MASKED * seen
-        return False
+        piece = ("", "")
+        if len(tokens) > 3 and before and word.isalpha() and len(word.lower()) < LONGEST_WORD:
+            piece = (_neighbour(before), word.lower())
+        keys = []
+        if not (lang == "en" and _STRANDED.search(text[-400:])):
+            contexts = [tokens[-k:] for k in (5, 4, 3, 2) if len(tokens) >= k]
+            keys = [self.key(c) for c in contexts if sum(t not in _MASKED for t in c) >= 2]
+        return (*piece, keys, tokens[-1] in _MASKED) if piece[1] or keys else False
 
 
 def pairs_of_dialogs(df: DataFrame, *, key: str = "point_id", dialog: str = "dialog") -> DataFrame:
@@ -335,6 +407,15 @@ def pairs_of_results(df: DataFrame, *, key: str = "result_id", question: str = "
 
 def judge(questions: Sequence[str | None], answers: Sequence[str | None], model: TerminalModel) -> list[str | None]:
     """The defect of each pair, or None: empty, refusal, copy, wrong_language or truncated, the first that holds."""
+    found, asked = _judge(questions, answers, model)
+    for i, x in asked.items():
+        if model._found(*x):
+            found[i] = "truncated"
+    return found
+
+
+def _judge(questions: Sequence[str | None], answers: Sequence[str | None], model: TerminalModel) -> tuple[list[str | None], dict[int, tuple[str, str, list[int], bool]]]:
+    """The defects that the words of a pair show, and for others that may be truncated what must be looked up."""
     found: list[str | None] = [None] * len(answers)
     folded = [fold(a) if a else "" for a in answers]
     words = [_WORD.findall(a) for a in folded]
@@ -363,44 +444,121 @@ def judge(questions: Sequence[str | None], answers: Sequence[str | None], model:
     other = (said >= 0) & (said != wanted) & (asks >= 1) & (mine >= 1.8 * held)
     other &= np.where(sure, (there <= 0.6 * asks) | ((held <= 0.2 * mine) & (there <= 0.8 * asks)), there <= 0.3 * asks)
     usual = clear_language(own, 1.0)
+    open_: dict[int, tuple[str, str, list[int], bool]] = {}
     for k, i in enumerate(left):
         if other[k] and _LANGUAGES[said[k]] not in asked_language(asked[questions[i]][0]):
             found[i] = "wrong_language"
-        elif model.breaks_off(answers[i], _LANGUAGES[usual[k]] if usual[k] >= 0 else None):
+            continue
+        x = model.asks(answers[i], _LANGUAGES[usual[k]] if usual[k] >= 0 else None)
+        if x is True:
             found[i] = "truncated"
-    return found
+        elif x:
+            open_[i] = x
+    return found, open_
 
 
 def defect_of(question: str | None, answer: str | None, model: TerminalModel) -> str | None:
     return judge([question], [answer], model)[0]
 
 
-def defective_pairs(pairs: DataFrame, *, fit_answers: int = FIT_ANSWERS, seed: int = 11) -> DataFrame:
+def _vocabulary(texts: DataFrame) -> DataFrame:
+    """token, lower, kind (of KNOWN), held (texts that hold it), after (how often a text goes on after it)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            read = _Read(batch.column(0).to_pylist())
+            held, after = read.words()
+            words = read.unique.tolist()
+            columns = [pa.array(words, pa.string()), pa.array([w.lower() for w in words], pa.string()), pa.array([_known_kind(w) for w in words], pa.int32()), pa.array(held, pa.int64()), pa.array(after, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "lower", "kind", "held", "after"])
+
+    counted = texts.mapInArrow(run, "token string, lower string, kind int, held bigint, after bigint")
+    return counted.groupBy("token", "lower", "kind").agg(F.sum("held").alias("held"), F.sum("after").alias("after"))
+
+
+def _broken_off(texts: DataFrame, asked: DataFrame, vocabulary: DataFrame, known: frozenset[str]) -> DataFrame:
+    """n of those rows of ``asked`` (n, before, word, keys, masked, bits) whose answers break off by the counts of all ``texts``."""
+    context = asked.sparkSession.sparkContext
+    bits = asked.select(F.explode("bits").alias("b")).groupBy(F.shiftright("b", 6).alias("place")).agg(F.bit_or(F.expr("shiftleft(1L, cast(b & 63 as int))")).alias("bits")).toArrow()
+    wanted = context.broadcast((known, _Wanted(bits["place"].to_numpy(), bits["bits"].to_numpy().astype(np.int64).view(np.uint64))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, filtered = wanted.value
+        for batch in batches:
+            read = _Read(batch.column(0).to_pylist())
+            keys, seen, ended = read.contexts(known, filtered)
+            before, words, times = read.follows(filtered)
+            n, m, names = len(keys), len(words), ["key", "before", "word", "seen", "ended"]
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.array(seen, pa.int64()), pa.array(ended, pa.int64())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.array(before, pa.string()), pa.array(words, pa.string()), pa.array(times, pa.int64()), pa.nulls(m, pa.int64())], names)
+
+    counts = texts.mapInArrow(run, "key bigint, before string, word string, seen bigint, ended bigint").groupBy("key", "before", "word").agg(F.sum("seen").alias("seen"), F.sum("ended").alias("ended"))
+    counts = materialize(counts.where(F.col("seen") >= SEEN), "pair-counts")
+
+    least, ending = (F.when(F.col("masked"), F.lit(a)).otherwise(F.lit(b)) for a, b in ((SEEN_MASKED, SEEN), (ENDING_MASKED, ENDING)))
+    contexts = asked.select("n", "masked", F.posexplode("keys").alias("place", "key")).join(counts.where("key is not null").select("key", "seen", "ended"), "key").where(F.col("seen") >= least)
+    by_context = contexts.groupBy("n").agg(F.min_by(F.col("ended") < ending * F.col("seen"), "place").alias("off")).where("off").select("n")
+
+    starts = counts.where("word is not null").select("before", "word", "seen", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("k"))
+    whole = F.col("k") == F.length("word")
+    starts = starts.groupBy("before", F.expr("left(word, k)").alias("word")).agg(F.sum(F.when(whole, F.col("seen")).otherwise(0)).alias("own"), F.sum(F.when(whole, 0).otherwise(F.col("seen"))).alias("longer")).where("longer > 0")
+    words = vocabulary.where(F.col("after") >= OFTEN).select(F.col("lower").alias("word")).distinct().withColumn("goes_on", F.lit(True))
+    pieces = asked.where("word <> ''").select("n", "before", "word").join(starts, ["before", "word"]).join(words, "word", "left")
+    by_piece = pieces.where(F.col("goes_on").isNull() | ((F.col("longer") >= LONGER) & (F.col("own") <= OWN * F.col("longer")))).select("n")
+    return by_context.union(by_piece).distinct()
+
+
+def defective_pairs(pairs: DataFrame) -> DataFrame:
     """The defective ones of ``pairs`` (record_table, record_id, pair_no, question, answer), with ``defect``.
 
     Defects: empty, refusal, copy, wrong_language, truncated; the first that holds, in this order.
 
     Method: copies by compressing the answer with its question as a zstandard dictionary, then
     reading what compresses; refusals and languages by dictionaries; truncation by a model of terminal
-    contexts, fitted on at most ``fit_answers`` answers drawn by hash. Pairs are judged in batches in
-    the scan; only defective ones are shuffled, to count a record delivered twice once.
+    contexts, :class:`TerminalModel`, fitted on all answers, equal ones once. Pairs are judged in batches in
+    the scan; where the model must be asked, the counts that it would hold are added up in a second reading
+    of the answers, those that some answer asks for only, and joined, so no worker holds the model. Only defective
+    ones are shuffled at the end, to count a record delivered twice once.
 
     Defined cases: a null or missing answer is empty; with a null question only empty, refusal and
     truncated are possible; null and empty dialogs have no pairs; an empty table gives no rows.
     """
-    pool = pairs.where("answer is not null")
-    total = pool.count()
-    share = min(1.0, fit_answers / max(total, 1))
-    drawn = pool.where(fast_unit("record_table", "record_id", "pair_no", salt=seed) < share).select("answer").limit(fit_answers)
-    model = TerminalModel().fit(drawn.toArrow().column(0).to_pylist())
-    shared = pairs.sparkSession.sparkContext.broadcast(model)
+    texts = materialize(pairs.where("answer is not null").select("answer").distinct(), "pair-answers")
+    vocabulary = materialize(_vocabulary(texts), "pair-words")
+    total = texts.count()
+    least = F.element_at(F.array(*[F.lit(float(max(floor, share * total))) for floor, share in KNOWN]), F.col("kind") + 1)
+    known = frozenset(vocabulary.where(F.col("held") >= least).select("token").toArrow().column(0).to_pylist())
+    shared = pairs.sparkSession.sparkContext.broadcast(TerminalModel(known))
+    place = "record_table string, record_id bigint, pair_no int"
+    asks = "before string, word string, keys array<bigint>, masked boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [pa.string(), pa.string(), pa.list_(pa.int64()), pa.bool_()]
         for batch in batches:
-            found = judge(batch.column(3).to_pylist(), batch.column(4).to_pylist(), shared.value)
-            keep = pa.array([f is not None for f in found])
-            out = pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.string())], ["record_table", "record_id", "pair_no", "defect"])
-            yield out.filter(keep)
-
-    judged = pairs.select("record_table", "record_id", "pair_no", "question", "answer").mapInArrow(run, "record_table string, record_id bigint, pair_no int, defect string")
-    return judged.distinct()
+            found, asked = _judge(batch.column(3).to_pylist(), batch.column(4).to_pylist(), shared.value)
+            keep = [i for i, f in enumerate(found) if f is not None or i in asked]
+            rows = [asked.get(i, (None, None, None, None)) for i in keep]
+            columns = [list(x) for x in zip(*rows, strict=True)] if rows else [[], [], [], []]
+            columns[2] = [None if x is None else np.array(x, np.uint64).view(np.int64) for x in columns[2]]
+            own = batch.select([0, 1, 2]).take(pa.array(keep, pa.int64())).columns
+            names = ["record_table", "record_id", "pair_no", "defect", "before", "word", "keys", "masked"]
+            yield pa.RecordBatch.from_arrays([*own, pa.array([found[i] for i in keep], pa.string()), *map(pa.array, columns, types)], names)
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before, words, keys, _ = (x.to_pylist() for x in batch.columns)
+            follows = _Wanted.bit(_follow_hashes(before, [w[:_START] for w in words])).tolist()
+            contexts = [_Wanted.bit(np.array(x, np.int64).view(np.uint64)).tolist() for x in keys]
+            bits = [[*c, f] if w else c for c, f, w in zip(contexts, follows, words, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits, pa.list_(pa.int64()))], ["before", "word", "keys", "masked", "bits"])
+
+    judged = pairs.select("record_table", "record_id", "pair_no", "question", "answer").mapInArrow(run, f"{place}, defect string, {asks}")
+    judged = materialize(judged, "pair-defects")
+    question = ["before", "word", "keys", "masked"]
+    left = judged.where("defect is null")
+    asked = left.select(question).distinct().mapInArrow(filtered, f"{asks}, bits array<bigint>").withColumn("n", F.monotonically_increasing_id())
+    asked = materialize(asked, "pair-questions")
+    off = asked.join(_broken_off(texts, asked, vocabulary, known), "n").select(question)
+    truncated = left.join(off, question).withColumn("defect", F.lit("truncated"))
+    result = ["record_table", "record_id", "pair_no", "defect"]
+    return judged.where("defect is not null").select(result).union(truncated.select(result)).distinct()

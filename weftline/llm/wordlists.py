@@ -14,7 +14,8 @@ FUNCTION_WORDS = {
     "pl": "okolo wszystko wszyscy bardzo dobrze miedzy przeciw tak moj moja nasz inny inne innych potem zanim podczas gdzie i w z na do nie sie jest ze to jak o po za od dla przez ktory ktora ktore ktorzy czy co kto dlaczego jaki jaka jakie jakim tym tego ten ta te ale oraz bez przy juz tylko byl byla bylo sa ma aby zeby kiedy gdy moze jego jej ich nawet nadal niz wiecej mniej nikt wciaz tej tam pod go przed chociaz",
 }
 
-#: Words with which no sentence of a language ends, with accents; words that may also be adverbs, pronouns or verb particles are left out. A low line joins two words.
+#: Words with which no sentence of a language ends, with accents; words that may also be adverbs, pronouns or verb particles are left out. A low line joins two words. Those of Chinese
+#: stand alone after a sign.
 NEVER_LAST = {
     "en": "the a an and or but nor whose because although unless whereas whether than my your our their every and_not but_not",
     "fr": "le les un des du de et mais que qui dont car quand chez par cet cette ses leurs",
@@ -25,6 +26,7 @@ NEVER_LAST = {
     "nl": "de een en of maar omdat wanneer",
     "pl": "i w z na do ale oraz że który która które gdy przez dla bez przed przy",
     "ru": "и в на с но который которая которое когда для без перед при по из от",
+    "zh": "因为 但是 可是 而且 所以 虽然 如果 或者 并且",
 }
 
 #: Names by which a question asks for an answer in a language, without accents.
